@@ -1 +1,10 @@
-"""Record linkage and corpus preparation on Spark DataFrames."""
+"""Record linkage and corpus preparation on Spark DataFrames.
+
+Functions of this package travel to the executors by value, so a cluster needs no copy of it on its machines.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
