@@ -329,11 +329,11 @@ def trained(pages: int = 240, rounds: int = 150, rate: float = 4.0, seed: int =
     return tuple(w), tuple(map(tuple, psi))
 
 
-def main_text(page: str | None, model=None) -> tuple[str, list[float]]:
+def main_text(page: str | None, model) -> tuple[str, list[float]]:
     """(the content blocks joined by newlines, the marginal probability of each text node with letters or digits)."""
     if not page:
         return "", []
-    w, psi = model or trained()
+    w, psi = model
     parents, tags, names, texts = tree(page)
     feats, edges = features(parents, tags, names, texts)
     odds, _, _ = sum_product([sum(w[k] for k in f) for f in feats], edges, parents, psi)

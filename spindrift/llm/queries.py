@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spindrift.llm import html_tree, quality_rules
+from spindrift.llm import html_tree, quality_rules, toxicity
 from spindrift.llm.common import table
 
 QUERIES: dict = {}
@@ -26,6 +27,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_tree.extract(table(spark, sf_dir, "pages"))
 
 
+@query("op3_toxicity")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 @query(
     "op8_quality_rules",
     r"""
