@@ -66,13 +66,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             at = to
 
 
-def map_slices(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text", setup=None) -> DataFrame:
-    """df.mapInArrow(f) over bounded slices; setup() runs once in each task and its value is f's second argument."""
+def map_slices(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text", most: int = SLICE_BYTES) -> DataFrame:
+    """df.mapInArrow(f) over slices of at most `most` bytes of text."""
 
     def run(batches):
-        own = (setup(),) if setup else ()
-        for part in slices(batches, text):
-            out = f(part, *own)
+        for part in slices(batches, text, most):
+            out = f(part)
             if out is not None and out.num_rows:
                 yield out
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import byte_cnn, html_tree, quality_rules, toxicity
+from spindrift.llm import bpe, byte_cnn, html_tree, near_dedup, quality_rules, toxicity
 from spindrift.llm.common import table
 
 QUERIES: dict = {}
@@ -67,3 +67,19 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     led = quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     led = quality_rules.apply_policy(quality_rules.apply_policy(led, "base", "passed"), "v2")
     return led.selectExpr("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "NOT passed AS base_failed", "kept", "fail_bits")
+
+
+@query("op9_near_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op10_bpe")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
