@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, byte_cnn, html_tree, near_dedup, quality_rules, toxicity
+from spindrift.llm import bpe, byte_cnn, html_tree, near_dedup, quality_rules, repeats, toxicity
 from spindrift.llm.common import table
 
 QUERIES: dict = {}
@@ -33,6 +33,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@query("op6_repeats")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
+
+
 @query("op7_byte_cnn")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = byte_cnn.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
