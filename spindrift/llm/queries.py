@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, byte_cnn, html_tree, near_dedup, quality_rules, repeats, toxicity
+from spindrift.llm import bpe, byte_cnn, decontaminate, html_tree, line_chunks, near_dedup, quality_rules, repeats, toxicity
 from spindrift.llm.common import table
 
 QUERIES: dict = {}
@@ -33,6 +33,16 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+@query("op4_line_chunks")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op5_decontaminate")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op6_repeats")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans", "kept")
