@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, byte_cnn, decontaminate, html_tree, line_chunks, near_dedup, quality_rules, repeats, toxicity
-from spindrift.llm.common import table
+from spindrift.llm import bpe, byte_cnn, decontaminate, html_tree, line_chunks, near_dedup, quality_rules, repeats, token_files, toxicity
+from spindrift.llm.common import scratch, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -27,6 +27,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_tree.extract(table(spark, sf_dir, "pages"))
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op2_token_files")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "token_files")
+    token_files.write(table(spark, sf_dir, "documents"), vocabulary(), path)
+    return token_files.read(spark, path)
+
+
 @query("op3_toxicity")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -89,12 +102,6 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept", "class_id")
 
 
-def vocabulary() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 @query("op10_bpe")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
