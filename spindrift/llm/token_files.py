@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from spindrift.llm.bpe import encode_column
 from spindrift.llm.common import slices
 
-MAGIC, VERSION, HEAD = b"SPTK", 1, struct.Struct("<4sHIIIIII")
+MAGIC, VERSION, HEAD = b"SPTK", 1, "<4sHIIIIII"
 BLOCK_IDS, LANES, LEAST_STEPS = 1 << 19, 2048, 64
 TOTAL_BITS, ORDER0_BITS, PAIR_BITS, TOP_CONF = 26, 20, 18, 15
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
@@ -230,15 +230,15 @@ def pack(doc_ids: list, lens: np.ndarray, ids: np.ndarray, vocabulary: int) -> b
     null = np.array([d is None for d in doc_ids], np.uint8)
     body = null.tobytes() + np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + lens.astype("<u4").tobytes() + counts.astype("<u4").tobytes() + digits.astype("<u2").tobytes()
     crc = zlib.crc32(np.ascontiguousarray(ids, "<u4"))
-    return HEAD.pack(MAGIC, VERSION, len(ids), lanes, vocabulary, len(doc_ids), crc, zlib.crc32(body)) + body
+    return struct.pack(HEAD, MAGIC, VERSION, len(ids), lanes, vocabulary, len(doc_ids), crc, zlib.crc32(body)) + body
 
 
 def unpack(block: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     """(doc ids, ids of each document, ids as uint32) of a block; ValueError if it is damaged."""
-    if len(block) < HEAD.size:
+    if len(block) < struct.calcsize(HEAD):
         raise ValueError("the block is cut short")
-    magic, version, n, lanes, vocabulary, docs, crc, body_crc = HEAD.unpack_from(block)
-    body = memoryview(block)[HEAD.size :]
+    magic, version, n, lanes, vocabulary, docs, crc, body_crc = struct.unpack_from(HEAD, block)
+    body = memoryview(block)[struct.calcsize(HEAD) :]
     if magic != MAGIC or version != VERSION or zlib.crc32(body) != body_crc:
         raise ValueError("the block is damaged")
     null = np.frombuffer(body, np.uint8, docs)
