@@ -200,8 +200,8 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(bounded, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (ids as little-endian uint32) and decoded_sha256 (UTF-8) of each row."""
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (ids as little-endian uint32), decoded_sha256 (UTF-8) and, if asked, ids of each row."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         ids, offsets = encode_column(part.column("text"), path)
@@ -209,9 +209,10 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
         raw = memoryview(ids.astype("<u4").view(np.uint8))
         spans = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
         sha = lambda b: hashlib.sha256(b).hexdigest()
-        return pa.RecordBatch.from_arrays(
-            [part.column("doc_id"), pa.array(np.diff(offsets)), pa.array([sha(raw[4 * a : 4 * b]) for a, b in spans]), pa.array([sha(x) for x in texts.cast(pa.large_binary()).to_pylist()])],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+        cols = [part.column("doc_id"), pa.array(np.diff(offsets)), pa.array([sha(raw[4 * a : 4 * b]) for a, b in spans]), pa.array([sha(x) for x in texts.cast(pa.large_binary()).to_pylist()])]
+        if with_ids:
+            cols.append(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.view(np.int32))))
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
 
-    return map_slices(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", most=DOC_BYTES)
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return map_slices(docs.select("doc_id", "text"), run, schema, most=DOC_BYTES)

@@ -157,34 +157,45 @@ def train(x: np.ndarray, y: np.ndarray, share: float, steps: int = 500, batch: i
     return net
 
 
-def score(docs: DataFrame, labels: DataFrame, holdout: int = 3, held: int = 1, label: str = "quality", train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, held_out (crc32(doc_id) mod holdout is held), score and n_chunks of each row; held-out labels are never read."""
-    spark = docs.sparkSession
+def fitted(docs: DataFrame, labels: DataFrame, holdout: int = 3, held: int = 1, label: str = "quality", train_rows: int = TRAIN_ROWS) -> tuple[dict | None, float]:
+    """(network, share of label 1); the network is None without labels of both classes.  Held-out labels are never read."""
     fold = crc_mod(F.col("doc_id"), holdout)
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold != held)).groupBy("doc_id").agg(F.max(label).cast("int").alias(label))
-    texts = docs.select("doc_id", "text")
     h = known.withColumn("h", F.xxhash64("doc_id"))
     picked = h.where(F.col(label) == 1).orderBy("h", "doc_id").limit(train_rows).unionByName(h.where(F.col(label) == 0).orderBy("h", "doc_id").limit(train_rows))
     share = known.agg(F.avg(F.col(label).cast("double"))).first()[0]
+    share = 0.5 if share is None else float(share)
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column(label), pa.array(sample_chunks(part.column("text"), part.column("doc_id").to_pylist()), pa.binary())], names=["doc_id", label, "chunks"])
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     got = map_slices(texts.join(F.broadcast(picked.select("doc_id", label)), "doc_id").select("doc_id", label, "text"), cut, f"doc_id long, {label} int, chunks binary").toArrow()
     y = got.column(label).to_numpy()
-    net = None
-    if 0 < y.sum() < len(y):
-        order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")  # the same network whatever the partitions
-        x = np.frombuffer(b"".join(got.column("chunks").to_pylist()), "<u2").reshape(len(y), CHUNKS, -1)[order]
-        net = train(x, y[order], min(max(share, 1e-3), 1 - 1e-3))
-    box = spark.sparkContext.broadcast(net)
-    flat = 0.5 if share is None else float(share)
+    if not 0 < y.sum() < len(y):
+        return None, share
+    order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")  # the same network whatever the partitions
+    x = np.frombuffer(b"".join(got.column("chunks").to_pylist()), "<u2").reshape(len(y), CHUNKS, -1)[order]
+    return train(x, y[order], min(max(share, 1e-3), 1 - 1e-3)), share
+
+
+def with_scores(docs: DataFrame, net: dict | None, share: float) -> DataFrame:
+    """docs with score (double) and n_chunks (long) for each row; columns of these names are replaced."""
+    box = docs.sparkSession.sparkContext.broadcast(net)
+    fields = [f for f in docs.schema if f.name not in ("score", "n_chunks")]
 
     def scored(part: pa.RecordBatch) -> pa.RecordBatch:
         if box.value is None:
-            p, n = np.full(part.num_rows, flat), np.zeros(part.num_rows, np.int64)
+            p, n = np.full(part.num_rows, share), np.zeros(part.num_rows, np.int64)
         else:
             p, n = probabilities(part.column("text"), box.value)
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p), pa.array(n)], names=["doc_id", "score", "n_chunks"])
+        return pa.RecordBatch.from_arrays([*part.columns, pa.array(p), pa.array(n)], names=[*part.schema.names, "score", "n_chunks"])
 
-    return map_slices(texts, scored, "doc_id long, score double, n_chunks long").select("doc_id", (fold == held).alias("held_out"), "score", "n_chunks")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double, n_chunks long"
+    return map_slices(docs.select(*(f.name for f in fields)), scored, schema)
+
+
+def score(docs: DataFrame, labels: DataFrame, holdout: int = 3, held: int = 1, label: str = "quality", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """doc_id, held_out (crc32(doc_id) mod holdout is held), score and n_chunks of each row."""
+    out = with_scores(docs.select("doc_id", "text"), *fitted(docs, labels, holdout, held, label, train_rows))
+    return out.select("doc_id", (crc_mod(F.col("doc_id"), holdout) == held).alias("held_out"), "score", "n_chunks")
