@@ -5,14 +5,19 @@
    few hundred bytes are written to the shared folder.
 2. Documents with equal sets are one class with its smallest id as representative (a pre-aggregated group-by), so
    thousands of copies cost one row from here on.
-3. Bands of the representatives give candidates.  A band key that several share links each member to the key's
-   smallest id (a star: members, not pairs).  Candidates whose packed bits put the collision-corrected similarity
-   (matches / PERMS - C) / (1 - C), C = 2^-BITS, clearly below the threshold are dropped; the rest are confirmed on the
-   full sets, which only documents in candidate pairs recompute.
+3. Bands of the representatives give candidates.  A band key that several share links its members to a hub (a star:
+   members, not pairs): the member whose keys are shared most often, which is the text that the others were edited
+   from.  Candidates whose packed bits put the collision-corrected similarity (matches / PERMS - C) / (1 - C),
+   C = 2^-BITS, clearly below the threshold are dropped; the rest are confirmed on the full sets, which only documents
+   in candidate pairs recompute.  A second round does the same for members that the first left outside the hub's
+   component, with the most shared of them as hub.
 4. Connected components over confirmed links by min-label propagation with checkpoints.
-5. A key whose members still stand in several components is resolved in full: every pair of members of different
-   components is a candidate (same sizes and bits tests, then full sets), and components are merged again.  So a link
-   that step 3's stars missed is found, while copies and near copies, already one component, make no pairs.
+5. What the stars may have missed is searched in full: members of one key in different components.  First, exactly and
+   in linear time, members are set aside that can link with nobody: those of whose shingles fewer than the threshold's
+   share stands in any other open member's set (an upper bound of the similarity).  The others get a sharper sketch of
+   SHARP single bits.  Every pair of them, of one key and different components, taken at the first key that it shares,
+   whose sizes and sharp bits allow the threshold, is confirmed on the full sets, and components are merged.  Copies
+   and near copies, already one component, make no pairs.
 
 With BANDS = 25 and ROWS = 5 a pair of similarity 0.85 shares a key with probability 1 - 4e-7.  Null, blank and empty
 texts have an empty set and are linked with nothing; a text of fewer than 5 words is one shingle.  Repeated rows
@@ -29,8 +34,11 @@ from pyspark.sql import functions as F
 from spindrift.llm.common import hashes_of, map_slices, mix64, shared_dir, words_of, written
 
 WORDS, BANDS, ROWS, PERMS, BITS = 5, 25, 5, 128, 4
-#: Standard deviations of the estimate below the threshold at which a candidate is dropped unconfirmed.
-SLACK = 6
+#: Standard deviations of the estimate below the threshold at which a candidate is dropped unconfirmed: of a star (the
+#: full search finds it again) and of the full search, whose sketches have SHARP bits.
+STAR_SLACK, SLACK, SHARP = 1.5, 5, 1024
+#: Most ids that are broadcast to the texts (about 40 MB); beyond that ids and texts are shuffled.
+BROADCAST_IDS = 1_000_000
 
 
 def shingles(column: pa.Array, n: int = WORDS) -> list[np.ndarray]:
@@ -121,11 +129,34 @@ def matches(a: str, b: str) -> Column:
     return F.lit(PERMS) - total
 
 
-def least_matches(percent: int) -> int:
-    """The fewest agreeing minima of a candidate worth confirming."""
-    c, j = 2.0**-BITS, percent / 100
+def least_matches(percent: int, n: int = PERMS, bits: int = BITS, slack: float = STAR_SLACK) -> int:
+    """The fewest agreeing minima, of n with so many bits, of a candidate worth confirming."""
+    c, j = 2.0**-bits, percent / 100
     p = c + (1 - c) * j
-    return int(np.floor(PERMS * p - SLACK * np.sqrt(PERMS * p * (1 - p))))
+    return int(np.floor(n * p - slack * np.sqrt(n * p * (1 - p))))
+
+
+def sharp_rows(part: pa.RecordBatch) -> pa.RecordBatch:
+    """doc_id and SHARP one-bit minima of each set, packed into longs; the bit is one of the smallest value's low bits."""
+    rng = np.random.default_rng(21)
+    a = rng.integers(1, 1 << 63, SHARP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    out = []
+    for row in part.column("shingles"):
+        x = np.asarray(row.values).view(np.uint64)
+        bits = np.empty(SHARP, bool)
+        with np.errstate(over="ignore"):
+            for k in range(0, SHARP, 64):
+                v = (x[:, None] * a[k : k + 64]).min(axis=0)
+                bits[k : k + 64] = (mix64(v) & np.uint64(1)).astype(bool)
+        out.append(np.packbits(bits).view(np.int64))
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "sharp"])
+
+
+def sharp_matches(a: str, b: str) -> Column:
+    apart = F.lit(0)
+    for k in range(SHARP // 64):
+        apart = apart + F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k]))
+    return F.lit(SHARP) - apart
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -167,37 +198,65 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = written(classes, "classes")
     reps = classes.select("rep", "n_shingles", "bits")
     banded = classes.select("rep", "n_shingles", F.posexplode("keys").alias("band", "key"))
-    stars = banded.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    keys = banded.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     # only keys that several representatives share go on
-    shared = written(banded.join(stars.select("band", "key", "hub"), ["band", "key"]).select("rep", "n_shingles", "band", "key", "hub"), "shared")
+    shared = written(banded.join(keys, ["band", "key"]), "shared")
+    popular = shared.groupBy("rep").agg(F.sum("members").alias("popular"))
+    shared = written(shared.join(popular, "rep").select("rep", "n_shingles", "band", "key", F.struct("popular", (-F.col("rep")).alias("minus")).alias("rank")), "ranked")
     close = lambda a, b: (F.col(a) * 100 >= F.col(b) * percent) & (F.col(b) * 100 >= F.col(a) * percent)
     low = least_matches(percent)
+    lists = shared.select(F.col("rep").alias("doc_id")).distinct().join(reps, F.col("doc_id") == F.col("rep")).select("rep", "n_shingles", "bits")
+    bits = written(lists, "bits")
 
     def tested(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose sizes and packed bits allow the threshold."""
-        x = pairs.join(reps.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("ba")), "a")
-        x = x.join(reps.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bb")), "b")
+        x = pairs.join(bits.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("ba")), "a")
+        x = x.join(bits.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bb")), "b")
         return x.where(close("na", "nb") & (matches("ba", "bb") >= low)).select("a", "b")
 
-    pairs = shared.where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    pairs = written(tested(pairs), "stars")
+    # the full sets of all that share a key, made once; ids go to the texts while they are few
+    members = bits.select(F.col("rep").alias("doc_id"))
+    sent = F.broadcast(members) if bits.count() <= BROADCAST_IDS else members
+    sets = written(map_slices(texts.join(sent, "doc_id", "left_semi"), shingle_rows, "doc_id long, shingles array<long>"), "sets")
 
-    def sets_of(p: DataFrame) -> DataFrame:
-        ids = p.select(F.col("a").alias("doc_id")).unionByName(p.select(F.col("b").alias("doc_id"))).distinct()
-        return written(map_slices(texts.join(ids, "doc_id", "left_semi"), shingle_rows, "doc_id long, shingles array<long>"), "sets")
+    def star(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+        """Confirmed links of rows (rep, band, key) with the hub of their key."""
+        pairs = rows.join(hubs, ["band", "key"]).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+        pairs = written(tested(pairs), "stars")
+        return written(confirmed(pairs, sets, percent), "links")
 
-    links = written(confirmed(pairs, sets_of(pairs), percent), "links")
+    def placed(comp: DataFrame) -> DataFrame:
+        """The rows of keys whose members stand in several components."""
+        x = shared.join(comp, F.col("rep") == F.col("id"), "left").select("rep", "n_shingles", "band", "key", "rank", F.coalesce("comp", "rep").alias("comp"))
+        split = x.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("rank", "comp")).alias("top")).where("lo < hi")
+        return written(x.join(split.select("band", "key", F.col("top.comp").alias("top")), ["band", "key"]), "open")
+
+    hub_of = lambda rows: rows.groupBy("band", "key").agg((-F.max("rank")["minus"]).alias("hub"))
+    links = star(shared, hub_of(shared))
+    comp = written(components(reps, links), "components")
+    others = placed(comp).where("comp <> top")
+    links = links.unionByName(star(others, hub_of(others)))
     comp = written(components(reps, links), "components")
-    # what the stars left open: members of one key in different components
-    placed = shared.join(comp, F.col("rep") == F.col("id"), "left").select("rep", "n_shingles", "band", "key", F.coalesce("comp", "rep").alias("comp"))
-    split = placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "key")
-    rest = written(placed.join(split, ["band", "key"]).select("rep", "n_shingles", "band", "key", "comp"), "open")
-    x, y = rest.alias("x"), rest.alias("y")
-    cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & close("x.n_shingles", "y.n_shingles"))
-    cross = cross.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-    tried = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    cross = written(tested(cross.join(tried, ["a", "b"], "left_anti")), "cross")
-    more = written(confirmed(cross, sets_of(cross), percent), "more_links")
+    rest = placed(comp)
+    open_sets = sets.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    for _ in range(2):  # set aside who can link with nobody; without them the bound of others may fall
+        each = open_sets.select("doc_id", F.explode("shingles").alias("g"))
+        common = each.groupBy("g").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("g")
+        held = each.join(common, "g").groupBy("doc_id").agg(F.count(F.lit(1)).alias("held"))
+        able = open_sets.join(held, "doc_id").where(F.lit(100) * F.col("held") >= F.lit(percent) * F.size("shingles"))
+        open_sets = written(able.select("doc_id", "shingles"), "able")
+    sharp = open_sets.mapInArrow(lambda batches: (sharp_rows(b.slice(i, 512)) for b in batches for i in range(0, b.num_rows, 512)), "doc_id long, sharp array<long>")
+    own_keys = classes.select("rep", "keys").join(bits.select("rep"), "rep", "left_semi")
+    rest = rest.join(sharp.withColumnRenamed("doc_id", "rep"), "rep").join(own_keys, "rep")
+    rest = written(rest.select("rep", "n_shingles", "band", "key", "comp", "sharp", "keys"), "rest")
+    x = rest.select(*(F.col(c).alias(f"x_{c}") for c in rest.columns))
+    y = rest.select(*(F.col(c).alias(f"y_{c}") for c in rest.columns))
+    meet = (F.col("x_band") == F.col("y_band")) & (F.col("x_key") == F.col("y_key")) & (F.col("x_comp") < F.col("y_comp"))
+    sharp_low = least_matches(percent, SHARP, 1, SLACK)
+    before = F.zip_with(F.slice("x_keys", 1, F.col("x_band")), F.slice("y_keys", 1, F.col("x_band")), lambda p, q: p == q)
+    first = ~F.array_contains(before, True)  # a pair is taken at the first key that it shares
+    cross = x.join(y, meet & close("x_n_shingles", "y_n_shingles") & (sharp_matches("x_sharp", "y_sharp") >= sharp_low) & first).select(F.col("x_rep").alias("a"), F.col("y_rep").alias("b"))
+    more = written(confirmed(written(cross, "cross"), open_sets, percent), "more_links")
     comp = components(reps, links.unionByName(more))
     final = classes.join(comp, F.col("rep") == F.col("id"), "left").select("n_shingles", "d1", "d2", "rep", F.coalesce("comp", "rep").alias("comp"))
     out = base.select("doc_id", "n_shingles", "d1", "d2").join(final, ["n_shingles", "d1", "d2"], "left")
