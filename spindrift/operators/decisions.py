@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from spindrift.functions.vectors import dot
 from spindrift.operators.ranking import keep_first, top_k
 
-MATCH_RANK = F.when(F.col("match_type") == "exact", 0).when(F.col("match_type") == "alias", 1).otherwise(2)
+def match_rank() -> Column:
+    return F.when(F.col("match_type") == "exact", 0).when(F.col("match_type") == "alias", 1).otherwise(2)
 
 
 def unique_rids(candidates: DataFrame) -> DataFrame:
@@ -17,7 +18,7 @@ def unique_rids(candidates: DataFrame) -> DataFrame:
 
 
 def one_per_rid(rows: DataFrame, source: str | Column) -> DataFrame:
-    first = keep_first(rows, ["rid"], [MATCH_RANK.asc(), F.col("authorid").asc()])
+    first = keep_first(rows, ["rid"], [match_rank().asc(), F.col("authorid").asc()])
     return first.withColumn("source", F.lit(source) if isinstance(source, str) else source)
 
 
@@ -54,8 +55,8 @@ def semantic_pick(scored: DataFrame, threshold: float, margin: float, dedupe: bo
     """
     passed = scored.where(F.coalesce(F.col("sim") >= threshold, F.lit(False)))
     if dedupe:
-        passed = keep_first(passed, ["rid", "authorid"], [F.desc("sim"), MATCH_RANK.asc()])
-    ranked = top_k(passed, ["rid"], [F.desc("sim"), F.asc("authorid"), MATCH_RANK.asc()], 2)
+        passed = keep_first(passed, ["rid", "authorid"], [F.desc("sim"), match_rank().asc()])
+    ranked = top_k(passed, ["rid"], [F.desc("sim"), F.asc("authorid"), match_rank().asc()], 2)
     second = F.max(F.when(F.col("rk") == 2, F.col("sim"))).over(Window.partitionBy("rid"))
     ranked = ranked.withColumn("__second", second)
     # compared at nine decimals, so that a margin that is met exactly isn't lost to the last bit of a sum
@@ -66,7 +67,7 @@ def semantic_pick(scored: DataFrame, threshold: float, margin: float, dedupe: bo
 def argmax_fallback(rows: DataFrame, papers: DataFrame, threshold: float) -> DataFrame:
     """One row for each rid: passed first, then most papers, then the smallest id."""
     r = rows.withColumn("passed", F.coalesce(F.col("sim") >= threshold, F.lit(False))).join(papers, "authorid", "left").withColumn("n_papers", F.coalesce("n_papers", F.lit(0)))
-    best = keep_first(r, ["rid"], [F.desc("passed"), F.desc("n_papers"), F.asc("authorid"), MATCH_RANK.asc()])
+    best = keep_first(r, ["rid"], [F.desc("passed"), F.desc("n_papers"), F.asc("authorid"), match_rank().asc()])
     return best.withColumn("source", F.when(F.col("passed"), "round4_semtie").otherwise("round4_maxpapers"))
 
 
@@ -79,7 +80,7 @@ def finalise(papers: DataFrame, *layers: DataFrame) -> DataFrame:
     for i, layer in enumerate(layers):
         one = layer.select(*FINAL, F.lit(i).alias("__layer"))
         out = one if out is None else out.unionByName(one)
-    out = keep_first(out, ["rid"], [F.asc("__layer"), MATCH_RANK.asc(), F.asc("authorid")]).drop("__layer")
+    out = keep_first(out, ["rid"], [F.asc("__layer"), match_rank().asc(), F.asc("authorid")]).drop("__layer")
     return out.join(papers, "authorid", "left").select(*FINAL, F.coalesce("n_papers", F.lit(0)).alias("n_papers"))
 
 
