@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -52,8 +53,24 @@ def crc_mod(col: Column, n: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % n
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that workers that live on between tasks don't hold their peak."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to do
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of 16 MB at most, unless the session asks for a size of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") in ("67108864b", "64m", "64MB"):
+        spark.conf.set(key, "16m")
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of at most `most` bytes of `text` (a longer row comes alone)."""
+    pa.set_memory_pool(pa.system_memory_pool())
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -63,6 +80,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             base = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(at, to - at)
+            give_back()
             at = to
 
 
@@ -75,6 +93,7 @@ def map_slices(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sch
             if out is not None and out.num_rows:
                 yield out
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

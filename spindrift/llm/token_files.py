@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spindrift.llm.bpe import encode_column
-from spindrift.llm.common import slices
+from spindrift.llm.common import bounded_batches, give_back, slices
 
 MAGIC, VERSION, HEAD = b"SPTK", 1, "<4sHIIIIII"
 BLOCK_IDS, LANES, LEAST_STEPS = 1 << 19, 2048, 64
@@ -271,6 +271,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, vocabular
             row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([size], pa.int64()), pa.array([payload], pa.binary())], names=["part", "block", "first", "n", "payload"])
             block, first = block + 1, first + size
             names, held, lens, size = [], [], [], 0
+            give_back()
             return row
 
         for b in slices(batches, "text", 1 << 20):
@@ -286,6 +287,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, vocabular
         if size:
             yield done()
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
     rows.mapInArrow(blocks, "part int, block int, first long, n long, payload binary").write.parquet(path)
 
