@@ -89,3 +89,26 @@ def oracle_fields(candidates: DataFrame, gold: DataFrame, top_fields: DataFrame,
     kept = filter_or_all(rows, ["rid"], F.arrays_overlap("f", "gf"))
     best = keep_first(kept, ["rid"], [F.desc_nulls_last("n_papers"), F.asc("authorid")])
     return best.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("authorid") == F.col("gold")).alias("correct"))
+
+
+def evidence_rule(rows: DataFrame, flag: Column, gold: DataFrame, papers: str | None = None) -> DataFrame:
+    """answered, correct: rids with one flagged candidate, or, with a count of papers, the flagged one that has most."""
+    from spindrift.operators.ranking import keep_first
+
+    hit = rows.where(F.coalesce(flag, F.lit(False)))
+    if papers:
+        picks = keep_first(hit, ["rid"], [F.desc_nulls_last(papers), F.asc("authorid")]).select("rid", "authorid")
+    else:
+        picks = hit.groupBy("rid").agg(F.min("authorid").alias("authorid"), F.max("authorid").alias("hi")).where("authorid = hi").select("rid", "authorid")
+    out = picks.join(gold.select("rid", F.col("authorid").alias("gold")), "rid")
+    return out.agg(F.count(F.lit(1)).alias("answered"), F.count_if(F.col("authorid") == F.col("gold")).alias("correct"))
+
+
+def filter_sweep(rows: DataFrame, value: str, floors: list[float], order: str, gold: DataFrame) -> DataFrame:
+    """floor, n, correct: arg-max of `order` among candidates whose value reaches the floor, among all if none does."""
+    from spindrift.operators.ranking import filter_or_all, keep_first
+
+    each = rows.withColumn("floor", F.explode(F.array(*map(F.lit, floors))))
+    kept = filter_or_all(each, ["floor", "rid"], F.col(value) >= F.col("floor"))
+    best = keep_first(kept, ["floor", "rid"], [F.desc_nulls_last(order), F.asc("authorid")])
+    return best.join(gold.select("rid", F.col("authorid").alias("gold")), "rid").groupBy("floor").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("authorid") == F.col("gold")).alias("correct"))

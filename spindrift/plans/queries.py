@@ -696,3 +696,39 @@ def semantic_pick_deduped(spark, sf_dir):
     """An author who is a candidate by two match types counts once, so it doesn't compete with itself."""
     out = D.semantic_pick(layers(spark, sf_dir).scored, EU.sem_thresh_v2, EU.sem_margin_v2, dedupe=True)
     return out.select(*COLS, F.round("sim", 6).alias("sim"))
+
+
+NP = "np AS (SELECT authorid, count(DISTINCT paperid) AS n_papers FROM papers GROUP BY authorid)"
+
+
+def pool_with_papers(spark, sf_dir) -> tuple[Roles, DataFrame]:
+    r, rk, ak, alk = keys(spark, sf_dir)
+    both = L.key_join(rk, ak, "nn", "exact").unionByName(L.alias_match(rk, alk)).select("rid", "authorid").distinct()
+    return r, both.join(A.distinct_papers(r.papers), "authorid", "left")
+
+
+@query("filter_sweep", f"WITH {KEYS}, {CAND}, {NP}, x AS (SELECT rid, authorid, n_papers, f FROM cv LEFT JOIN np USING (authorid), unnest([20, 30, 40]) t(f)), y AS (SELECT *, bool_or(n_papers >= f) OVER (PARTITION BY f, rid) AS any_ok FROM x), z AS (SELECT * FROM y WHERE n_papers >= f OR NOT any_ok QUALIFY row_number() OVER (PARTITION BY f, rid ORDER BY n_papers DESC NULLS LAST, authorid) = 1) SELECT f AS floor, count(*) AS n, count(*) FILTER (WHERE z.authorid = gold.authorid) AS correct FROM z JOIN gold USING (rid) GROUP BY f")
+def filter_sweep(spark, sf_dir):
+    r, pool = pool_with_papers(spark, sf_dir)
+    return E.filter_sweep(pool, "n_papers", [20, 30, 40], "n_papers", r.gold)
+
+
+@query("evidence_rules", f"WITH {KEYS}, {CAND}, {NP}, h AS (SELECT rid, authorid, n_papers FROM cv LEFT JOIN np USING (authorid) WHERE n_papers >= 35), u AS (SELECT rid, min(authorid) AS authorid FROM h GROUP BY rid HAVING count(DISTINCT authorid) = 1), p AS (SELECT rid, authorid FROM h QUALIFY row_number() OVER (PARTITION BY rid ORDER BY n_papers DESC, authorid) = 1) SELECT 'unique' AS rule, count(*) AS answered, count(*) FILTER (WHERE u.authorid = gold.authorid) AS correct FROM u JOIN gold USING (rid) UNION ALL SELECT 'papers', count(*), count(*) FILTER (WHERE p.authorid = gold.authorid) FROM p JOIN gold USING (rid)")
+def evidence_rules(spark, sf_dir):
+    r, pool = pool_with_papers(spark, sf_dir)
+    flag = F.col("n_papers") >= 35
+    one = E.evidence_rule(pool, flag, r.gold).withColumn("rule", F.lit("unique"))
+    return one.unionByName(E.evidence_rule(pool, flag, r.gold, "n_papers").withColumn("rule", F.lit("papers")))
+
+
+@query("language_presence", "WITH n AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY lang) AS share FROM n), k AS (SELECT *, bool_or(n >= 10 AND share >= 0.05) OVER (PARTITION BY lang) AS any_ok FROM s) SELECT lang, source, n FROM k WHERE (n >= 10 AND share >= 0.05) OR NOT any_ok QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, source) = 1")
+def language_presence(spark, sf_dir):
+    n = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    kept = R.filter_or_all(n.withColumn("share", R.share(n, "lang", "n")), ["lang"], (F.col("n") >= 10) & (F.col("share") >= 0.05))
+    return R.keep_first(kept, ["lang"], [F.desc("n"), F.asc("source")]).select("lang", "source", "n")
+
+
+@query("nearest_top3", f"WITH {CENTROID}, s AS (SELECT vec_id, p.label, {DOT.format(a='e.embedding', b='p.vec')} / sqrt({DOT.format(a='e.embedding', b='e.embedding')}) AS sim FROM embeddings e, proto p) SELECT vec_id, label, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, label) AS INTEGER) AS rk FROM s QUALIFY rk <= 3")
+def nearest_top3(spark, sf_dir):
+    v = roles(spark, sf_dir).vectors
+    return V.nearest(v, V.centroids(v, "label"), 3).select("vec_id", "label", "rk")
