@@ -31,6 +31,8 @@ from spindrift.llm.common import large_text, map_slices
 WINDOW, MASK_BITS, STORE_BYTES, DOC_BYTES = 4, 2, 96 << 20, 2 << 20
 #: White space at which pre-tokens always end, as bytes.
 CUTS = (32, 10, 13, 9)
+#: What stands between pieces that are encoded together; one id of its own in the vocabulary.
+MARK = "\x01"
 
 
 def worker_store(path: str):
@@ -49,6 +51,8 @@ class Store:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.cut = can_cut(self.tokenizer)
+        mark = self.encode([MARK])[0]
+        self.mark = mark[0] if len(mark) == 1 and self.cut else None
         self.clear()
 
     def clear(self):
@@ -61,6 +65,18 @@ class Store:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces, their numbers).  Pieces are encoded many at a time with a mark between them, which white
+        space sets apart like a cut; pieces that hold the mark's byte go alone."""
+        texts = [p.decode() for p in pieces]
+        if self.mark is None or any(MARK in t for t in texts):
+            ids = self.encode(texts)
+            return np.array([x for y in ids for x in y], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+        joined = [f" {MARK} ".join([*texts[i : i + 256], ""]) for i in range(0, len(texts), 256)]
+        flat = np.concatenate([np.array(x, np.uint32) for x in self.encode(joined)])
+        ends = np.flatnonzero(flat == self.mark)
+        return flat[flat != self.mark], np.diff(np.concatenate(([-1], ends))) - 1
+
     def slots(self, pieces: list[bytes]) -> np.ndarray:
         """The slot of each piece in starts and lens; new ones are encoded."""
         if self.bytes > STORE_BYTES:
@@ -70,21 +86,20 @@ class Store:
         new = np.flatnonzero(out < 0)
         for lo in range(0, len(new), 4096):
             part = [pieces[i] for i in new[lo : lo + 4096]]
-            ids = self.encode([p.decode() for p in part])
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            total = int(lens.sum())
+            ids, lens = self.encode_pieces(part)
+            total = len(ids)
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-            while self.size + len(ids) > len(self.starts):
+            while self.size + len(part) > len(self.starts):
                 self.starts, self.lens = (np.concatenate([x, np.empty_like(x)]) for x in (self.starts, self.lens))
-            self.flat[self.used : self.used + total] = np.concatenate([np.array(x, np.uint32) for x in ids]) if total else []
-            self.starts[self.size : self.size + len(ids)] = self.used + np.concatenate(([0], np.cumsum(lens)[:-1]))
-            self.lens[self.size : self.size + len(ids)] = lens
-            slots = range(self.size, self.size + len(ids))
+            self.flat[self.used : self.used + total] = ids
+            self.starts[self.size : self.size + len(part)] = self.used + np.concatenate(([0], np.cumsum(lens)[:-1]))
+            self.lens[self.size : self.size + len(part)] = lens
+            slots = range(self.size, self.size + len(part))
             self.known.update(zip(part, slots, strict=True))
             out[new[lo : lo + 4096]] = slots
             self.used += total
-            self.size += len(ids)
+            self.size += len(part)
             self.bytes += sum(map(len, part)) + 150 * len(part) + 4 * total
         return out
 
