@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import hashes_of, map_slices, mix64, words_of
+from spindrift.llm.common import map_slices, mix64, words_of
 
 WORD_BITS, RANK, EXTRA, ROUNDS = 15, 152, 8, 2
 PASSAGE, SAMPLE, ITEM_WEIGHT, ITEMS = 48, 1500, 4.0, 5000
@@ -31,12 +31,30 @@ COSINE, LCS, ANSWER = 0.45, 0.6, 0.5
 TRIM = ".,;:!?\"'()[]{}*#$%&|<>"
 
 
+def byte_hashes(strings: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each string from its bytes and their places, without a loop over the strings."""
+    strings = strings.cast(pa.large_string())
+    buffers = strings.buffers()
+    offsets = np.frombuffer(buffers[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    lens = np.diff(offsets)
+    out = np.zeros(len(strings), np.uint64)
+    full = lens > 0
+    if full.any():
+        raw = np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]]
+        starts = offsets[:-1] - offsets[0]
+        with np.errstate(over="ignore"):
+            power = np.cumprod(np.full(int(lens.max()), 0x9E3779B97F4A7C15, np.uint64))
+            out[full] = np.add.reduceat((raw.astype(np.uint64) + np.uint64(1)) * power[np.arange(len(raw)) - np.repeat(starts, lens)], starts[full])
+            out += lens.astype(np.uint64)
+    return mix64(out)
+
+
 def buckets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """(offsets, bucket of each word, code of each word, trimmed unique words); words that are only punctuation go."""
     offsets, codes, uniques = words_of(column)
     trimmed = pc.utf8_lower(pc.utf8_trim(uniques.cast(pa.string()), TRIM))
     full = pc.not_equal(trimmed, "").to_numpy(zero_copy_only=False)
-    bucket = (mix64(hashes_of(trimmed, 5)) >> np.uint64(64 - WORD_BITS)).astype(np.int32)
+    bucket = (byte_hashes(trimmed) >> np.uint64(64 - WORD_BITS)).astype(np.int32)
     if not full.all():
         keep = full[codes]
         offsets = np.concatenate(([0], np.cumsum(keep)))[offsets]
@@ -49,9 +67,14 @@ def frequencies(docs: DataFrame) -> np.ndarray:
 
     def count(part: pa.RecordBatch) -> pa.RecordBatch:
         offsets, bucket, _, _ = buckets_of(part.column("text"))
-        doc = np.repeat(np.arange(part.num_rows), np.diff(offsets))
-        seen = np.unique(doc.astype(np.int64) << WORD_BITS | bucket) & ((1 << WORD_BITS) - 1)
-        n = np.bincount(seen, minlength=1 << WORD_BITS)
+        n = np.zeros(1 << WORD_BITS, np.int64)
+        for lo in range(0, part.num_rows, 1 << 16):  # 32-bit numbers sort several times faster
+            hi = min(lo + (1 << 16), part.num_rows)
+            doc = np.repeat(np.arange(hi - lo, dtype=np.uint32), np.diff(offsets[lo : hi + 1]))
+            seen = np.sort((doc << np.uint32(WORD_BITS)) | bucket[offsets[lo] : offsets[hi]].astype(np.uint32))
+            first = np.ones(len(seen), bool)
+            first[1:] = seen[1:] != seen[:-1]
+            n += np.bincount(seen[first] & np.uint32((1 << WORD_BITS) - 1), minlength=1 << WORD_BITS)
         at = np.flatnonzero(n)
         return pa.RecordBatch.from_arrays([pa.array(np.append(at, 1 << WORD_BITS)), pa.array(np.append(n[at], part.num_rows))], names=["b", "n"])
 
@@ -166,7 +189,7 @@ def search(texts: DataFrame, items: DataFrame, idf: np.ndarray, schema: str) ->
     coded = []
     for i in good:
         w = [number[x] for x in item_words[i]]
-        coded.append((int(item_ids[i]), w, {x: w.count(x) for x in w}))
+        coded.append((int(item_ids[i]), w, frozenset(w), len(w) - len(set(w))))
     box = spark.sparkContext.broadcast((weighted, np.ascontiguousarray(own.T), coded, vocabulary))
     step = PASSAGE // 2
 
@@ -189,17 +212,21 @@ def search(texts: DataFrame, items: DataFrame, idf: np.ndarray, schema: str) ->
             whole[same] += half[same + 1]
             whole /= np.maximum(np.sqrt(np.einsum("ij,ij->i", whole, whole))[:, None], 1e-9)
             best: dict = {}
+            widest = max(len(x[1]) for x in items)
             for lo in range(0, len(whole), 4096):
                 sims = whole[lo : lo + 4096] @ own
-                for p, q in np.argwhere(sims >= COSINE):
-                    i = int(doc[lo + p])
-                    _, words, counts = items[q]
-                    a = max(int(offsets[i]), int(starts[lo + p]) - len(words))
-                    b = min(int(offsets[i + 1]), int(starts[lo + p]) + PASSAGE + len(words))
+                last = -1
+                for p, q in np.argwhere(sims >= COSINE).tolist():
+                    if p != last:  # the words around the passage, as wide as any item needs
+                        i, last = int(doc[lo + p]), p
+                        begin = int(starts[lo + p])
+                        around = set(known[max(int(offsets[i]), begin - widest) : min(int(offsets[i + 1]), begin + PASSAGE + widest)].tolist())
+                    _, words, distinct, more = items[q]
+                    if len(distinct & around) + more < LCS * len(words):
+                        continue
+                    a, b = max(int(offsets[i]), begin - len(words)), min(int(offsets[i + 1]), begin + PASSAGE + len(words))
                     region = known[a:b]
                     region = region[region >= 0].tolist()
-                    if sum(counts.get(w, 0) for w in set(region)) < LCS * len(words):
-                        continue
                     share = lcs(words, region) / len(words)
                     if share < LCS:
                         continue
@@ -207,8 +234,8 @@ def search(texts: DataFrame, items: DataFrame, idf: np.ndarray, schema: str) ->
                     answer = lcs(tail, region) / len(tail)
                     if answer < ANSWER:
                         continue
-                    was = best.get((i, int(q)), (0.0, 0.0, 0.0, 0))
-                    best[i, int(q)] = (max(was[0], float(sims[p, q])), max(was[1], share), max(was[2], answer), was[3] + 1)
+                    was = best.get((i, q), (0.0, 0.0, 0.0, 0))
+                    best[i, q] = (max(was[0], float(sims[p, q])), max(was[1], share), max(was[2], answer), was[3] + 1)
             rows = [(doc_ids[i], items[q][0], *v) for (i, q), v in best.items()]
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["doc_id", "item_id", "cosine", "lcs", "answer", "n_passages"])
