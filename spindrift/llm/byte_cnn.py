@@ -198,4 +198,4 @@ def with_scores(docs: DataFrame, net: dict | None, share: float) -> DataFrame:
 def score(docs: DataFrame, labels: DataFrame, holdout: int = 3, held: int = 1, label: str = "quality", train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out (crc32(doc_id) mod holdout is held), score and n_chunks of each row."""
     out = with_scores(docs.select("doc_id", "text"), *fitted(docs, labels, holdout, held, label, train_rows))
-    return out.select("doc_id", (crc_mod(F.col("doc_id"), holdout) == held).alias("held_out"), "score", "n_chunks")
+    return out.select("doc_id", F.coalesce(crc_mod(F.col("doc_id"), holdout) == held, F.lit(False)).alias("held_out"), "score", "n_chunks")

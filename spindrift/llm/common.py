@@ -24,12 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that this process has written scratch tables to.
+SCRATCH: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; only where it names none is a local default set (tests)."""
+    """The shared folder the cluster names; only where it names none is a local default used (tests)."""
     told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not told:
-        told = "file:///tmp/spindrift-shared"
-        spark.conf.set("spark.checkpoint.dir", told)
+    told = told or "file:///tmp/spindrift-shared"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(told)
     return told.rstrip("/")
@@ -37,7 +39,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/spindrift-{uuid.uuid4().hex}/{name}"
+    SCRATCH.append(f"{shared_dir(spark)}/spindrift-{uuid.uuid4().hex}")
+    return f"{SCRATCH[-1]}/{name}"
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables of this process; frames that read them can't be used after it."""
+    jvm = spark.sparkContext._jvm
+    while SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(SCRATCH.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

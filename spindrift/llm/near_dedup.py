@@ -21,7 +21,8 @@
 
 With BANDS = 25 and ROWS = 5 a pair of similarity 0.85 shares a key with probability 1 - 4e-7.  Null, blank and empty
 texts have an empty set and are linked with nothing; a text of fewer than 5 words is one shingle.  Repeated rows
-give repeated, equal results.  Extra columns are ignored.
+give repeated, equal results.  A row without doc_id is kept unless another row's set equals its own.  Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -193,7 +194,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with an equal set), component_id, kept, for each row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = written(map_slices(texts, sketch, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, bits array<long>"), "sketches")
-    full = base.where("n_shingles > 0")
+    full = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("n_shingles", "d1", "d2").agg(F.min(F.struct("doc_id", "keys", "bits")).alias("m")).select("n_shingles", "d1", "d2", F.col("m.doc_id").alias("rep"), F.col("m.keys").alias("keys"), F.col("m.bits").alias("bits"))
     classes = written(classes, "classes")
     reps = classes.select("rep", "n_shingles", "bits")
@@ -260,4 +261,4 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     comp = components(reps, links.unionByName(more))
     final = classes.join(comp, F.col("rep") == F.col("id"), "left").select("n_shingles", "d1", "d2", "rep", F.coalesce("comp", "rep").alias("comp"))
     out = base.select("doc_id", "n_shingles", "d1", "d2").join(final, ["n_shingles", "d1", "d2"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("comp", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("comp", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))

@@ -355,3 +355,17 @@ def test_collision_corrected_estimate():
     m = near_dedup.minima([np.concatenate([common, a]), np.concatenate([common, b])]) & 15
     c = 1 / 16
     assert abs(((m[0] == m[1]).mean() - c) / (1 - c) - 0.85) < 0.12
+
+
+def test_null_ids(spark):
+    text = "a b c d e f g h\ni j k l m n o p\n" * 20
+    rows = [(None, text), (7, text), (8, text), (None, "quite another text that stands alone here"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == {(7, 7, True): 1, (8, 7, False): 1, (None, 7, False): 1, (None, None, True): 2}
+    labels = spark.createDataFrame([(7, 1, 0), (8, 0, 1)], "doc_id long, quality int, toxic int")
+    for f in (byte_cnn.score, toxicity.score):
+        assert [r.held_out for r in f(docs, labels).collect() if r.doc_id is None] == [False] * 3
+    assert line_chunks.remove_repeated_chunks(docs).count() == 5
+    assert repeats.remove_repeats(docs).count() == 5
+    assert quality_rules.ledger(docs).count() == 5
