@@ -87,3 +87,11 @@ def finalise(papers: DataFrame, *layers: DataFrame) -> DataFrame:
 def floor_split(final: DataFrame, floor: int) -> tuple[DataFrame, DataFrame]:
     """(matched, held): held rows have fewer papers than the floor."""
     return final.where(F.col("n_papers") >= floor), final.where(F.col("n_papers") < floor)
+
+
+def assemble(roster: DataFrame, final: DataFrame, floor: int, sources: list[str] | None = None) -> DataFrame:
+    """Every roster row with author_id, blank where it has no answer of the listed sources or too few papers."""
+    good = final.where(F.col("n_papers") >= floor)
+    if sources:
+        good = good.where(F.col("source").isin(*sources))
+    return roster.join(good.select("rid", F.col("authorid").alias("author_id"), "source"), "rid", "left")

@@ -112,3 +112,11 @@ def filter_sweep(rows: DataFrame, value: str, floors: list[float], order: str, g
     kept = filter_or_all(each, ["floor", "rid"], F.col(value) >= F.col("floor"))
     best = keep_first(kept, ["floor", "rid"], [F.desc_nulls_last(order), F.asc("authorid")])
     return best.join(gold.select("rid", F.col("authorid").alias("gold")), "rid").groupBy("floor").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("authorid") == F.col("gold")).alias("correct"))
+
+
+def prototype_accuracy(scored: DataFrame, gold: DataFrame) -> DataFrame:
+    """n, strict, ties, loose: the right candidate's best score above, equal to, or not below the best of the others."""
+    rows = scored.where(F.col("sim").isNotNull()).join(gold.select("rid", F.col("authorid").alias("gold")), "rid")
+    best = rows.groupBy("rid").agg(F.max(F.when(F.col("authorid") == F.col("gold"), F.col("sim"))).alias("g"), F.max(F.when(F.col("authorid") != F.col("gold"), F.col("sim"))).alias("o")).where("g IS NOT NULL")
+    other = F.coalesce("o", F.lit(float("-inf")))
+    return best.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("g") > other).alias("strict"), F.count_if(F.col("g") == other).alias("ties"), F.count_if(F.col("g") >= other).alias("loose"))

@@ -92,3 +92,14 @@ def report(final: DataFrame, floor: int) -> str:
     by = final.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("n_papers") < floor).alias("held")).orderBy("source").collect()
     lines = ["# Match summary", "", "| source | rows | held |", "|---|---:|---:|", *(f"| {r['source']} | {r['n']} | {r['held']} |" for r in by)]
     return "\n".join([*lines, "", f"Total {sum(r['n'] for r in by)}, held below {floor} papers {sum(r['held'] for r in by)}."]) + "\n"
+
+
+def swapped_roster(rows: DataFrame, by_year: bool = False) -> DataFrame:
+    """rid, name, inst, field of rows (rid, name, a, b, year): columns put right by their marks or by year, then rows
+    without either anchor dropped; numbers given before stay."""
+    from spindrift.functions import institutions as inst
+
+    own, field = inst.swap_by_marks(F.col("a"), F.col("b"))
+    if by_year:
+        own, field = inst.swap_by_year(F.col("a"), F.col("b"), F.col("year")), inst.swap_by_year(F.col("b"), F.col("a"), F.col("year"))
+    return rows.select("rid", "name", own.alias("inst"), field.alias("field")).where("inst IS NOT NULL OR field IS NOT NULL")

@@ -732,3 +732,26 @@ def language_presence(spark, sf_dir):
 def nearest_top3(spark, sf_dir):
     v = roles(spark, sf_dir).vectors
     return V.nearest(v, V.centroids(v, "label"), 3).select("vec_id", "label", "rk")
+
+
+@query("assembled", f"WITH {FUNNEL} SELECT rid, roster.name, CAST(host_id AS VARCHAR) AS host_id, CAST(fin.authorid AS VARCHAR) AS author_id, source FROM roster LEFT JOIN (SELECT * FROM fin WHERE n_papers >= 30 AND source IN ('name_unique', 'round2_inst')) fin USING (rid)")
+def assembled(spark, sf_dir):
+    r = roles(spark, sf_dir)
+    out = D.assemble(r.roster, layers(spark, sf_dir).final, EU.paper_floor, ["name_unique", "round2_inst"])
+    return out.withColumn("host_id", F.col("host_id").cast("string")).withColumn("author_id", F.col("author_id").cast("string"))
+
+
+@query("prototype_accuracy", f"WITH {FUNNEL}, b AS (SELECT rid, max(sim) FILTER (WHERE scored.authorid = gold.authorid) AS g, max(sim) FILTER (WHERE scored.authorid <> gold.authorid) AS o FROM scored JOIN gold USING (rid) GROUP BY rid HAVING g IS NOT NULL) SELECT count(*) AS n, count(*) FILTER (WHERE round(g - coalesce(o, -9), 9) > 0) AS strict, count(*) FILTER (WHERE round(g - coalesce(o, -9), 9) = 0) AS ties, count(*) FILTER (WHERE round(g - coalesce(o, -9), 9) >= 0) AS loose FROM b")
+def prototype_accuracy(spark, sf_dir):
+    scored = layers(spark, sf_dir).scored.withColumn("sim", F.round("sim", 9))
+    return E.prototype_accuracy(scored, roles(spark, sf_dir).gold)
+
+
+@query("author_vectors")
+def author_vectors(spark, sf_dir):
+    from spindrift.functions.embed import HashEncoder
+    from spindrift.functions.embed import author_vectors as build
+
+    r = roles(spark, sf_dir)
+    d = r.table("documents").select((F.col("doc_id") * 3).alias("paperid"), F.col("lang").alias("language"), names.document(F.col("source"), F.col("text")).alias("doc"))
+    return build(r.papers, d, HashEncoder, 20)
