@@ -23,11 +23,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import map_slices, mix64, words_of
+from spindrift.llm.common import give_back, map_slices, mix64, words_of
 
 WORD_BITS, RANK, EXTRA, ROUNDS = 15, 152, 8, 2
 PASSAGE, SAMPLE, ITEM_WEIGHT, ITEMS = 48, 1500, 4.0, 5000
 COSINE, LCS, ANSWER = 0.45, 0.6, 0.5
+#: Text searched at once in a task: its passages' vectors take some ten times as much.
+SEARCH_BYTES = 1 << 20
 TRIM = ".,;:!?\"'()[]{}*#$%&|<>"
 
 
@@ -107,8 +109,13 @@ def decompose(rows: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
                     if norm > 0:
                         x *= weight[i] / norm
                         out[own] += x[:, None] * (x @ box.value[own])
-            at = np.flatnonzero(out.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([out[at].tobytes()], pa.binary())], names=["at", "m"])
+            for lo in range(0, size, 1024):  # in small rows: a whole matrix in one would be copied several times on its way
+                part = out[lo : lo + 1024]
+                at = np.flatnonzero(part.any(axis=1))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array([(at + lo).astype("<i4").tobytes()], pa.binary()), pa.array([part[at].tobytes()], pa.binary())], names=["at", "m"])
+            del out
+            give_back()
 
         total = np.zeros((size, width), np.float64)
         for r in rows.mapInArrow(product, "at binary, m binary").toLocalIterator():
@@ -240,4 +247,4 @@ def search(texts: DataFrame, items: DataFrame, idf: np.ndarray, schema: str) ->
         kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate(kinds)], names=["doc_id", "item_id", "cosine", "lcs", "answer", "n_passages"])
 
-    return map_slices(texts, find, schema)
+    return map_slices(texts, find, schema, most=SEARCH_BYTES)
