@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from spindrift.llm.common import large_text, map_slices
 
-WINDOW, MASK_BITS, STORE_BYTES, DOC_BYTES = 4, 2, 96 << 20, 2 << 20
+WINDOW, MASK_BITS, STORE_BYTES, DOC_BYTES = 4, 2, 40 << 20, 1 << 20
 #: White space at which pre-tokens always end, as bytes.
 CUTS = (32, 10, 13, 9)
 #: What stands between pieces that are encoded together; one id of its own in the vocabulary.

@@ -73,10 +73,10 @@ def give_back() -> None:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of 16 MB at most, unless the session asks for a size of its own."""
+    """Arrow batches of 4 MB at most, unless the session asks for a size of its own."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, "67108864b") in ("67108864b", "64m", "64MB"):
-        spark.conf.set(key, "16m")
+        spark.conf.set(key, "4m")
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
