@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spindrift.llm.common import crc_mod, large_text, map_slices
+from spindrift.llm.common import crc_mod, give_back, large_text, map_slices
 
 BLOCK, WIDTH, FILTERS, HIDDEN, LAGS, GAP = 128, 6, 16, 8, 24, 32
 PAD = 512
@@ -176,7 +176,10 @@ def fitted(docs: DataFrame, labels: DataFrame, holdout: int = 3, held: int = 1,
         return None, share
     order = np.argsort(got.column("doc_id").to_numpy(), kind="stable")  # the same network whatever the partitions
     x = np.frombuffer(b"".join(got.column("chunks").to_pylist()), "<u2").reshape(len(y), CHUNKS, -1)[order]
-    return train(x, y[order], min(max(share, 1e-3), 1 - 1e-3)), share
+    net = train(x, y[order], min(max(share, 1e-3), 1 - 1e-3))
+    del got, x
+    give_back()
+    return net, share
 
 
 def with_scores(docs: DataFrame, net: dict | None, share: float) -> DataFrame:

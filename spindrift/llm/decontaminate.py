@@ -86,6 +86,18 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def orthonormal(y: np.ndarray) -> np.ndarray:
+    """An orthonormal basis of y's columns by the Gram matrix, which needs no copies of y in double precision."""
+    gram = np.zeros((y.shape[1], y.shape[1]))
+    for lo in range(0, len(y), 4096):
+        part = y[lo : lo + 4096].astype(np.float64)
+        gram += part.T @ part
+    values, vectors = np.linalg.eigh(gram)
+    order = np.argsort(-values)
+    values = np.maximum(values[order], max(values.max(), 1e-30) * 1e-12)
+    return y @ (vectors[:, order] / np.sqrt(values)).astype(np.float32)
+
+
 def decompose(rows: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
     """The leading right singular vectors (words x rank) of the TF-IDF rows (text, weight)."""
     spark = rows.sparkSession
@@ -117,11 +129,13 @@ def decompose(rows: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
             del out
             give_back()
 
-        total = np.zeros((size, width), np.float64)
+        total = np.zeros((size, width), np.float32)
         for r in rows.mapInArrow(product, "at binary, m binary").toLocalIterator():
             total[np.frombuffer(r["at"], "<i4")] += np.frombuffer(r["m"], np.float32).reshape(-1, width)
-        basis = np.linalg.qr(total)[0].astype(np.float32)
+        basis = orthonormal(orthonormal(total))
         box.unpersist()
+        del total
+        give_back()
     rows.unpersist()
     return basis[:, :rank]
 
@@ -198,6 +212,8 @@ def search(texts: DataFrame, items: DataFrame, idf: np.ndarray, schema: str) ->
         w = [number[x] for x in item_words[i]]
         coded.append((int(item_ids[i]), w, frozenset(w), len(w) - len(set(w))))
     box = spark.sparkContext.broadcast((weighted, np.ascontiguousarray(own.T), coded, vocabulary))
+    del vectors, weighted
+    give_back()
     step = PASSAGE // 2
 
     def find(part: pa.RecordBatch) -> pa.RecordBatch:
