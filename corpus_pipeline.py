@@ -36,8 +36,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove repeated multi-line chunks; a document of which no word is left stood elsewhere in whole and goes."""
-    out = line_chunks.remove_repeated_chunks(docs)
+    """Remove repeated passages; a document of which no word is left stood elsewhere, line by line, and goes."""
+    out = line_chunks.remove_repeated_passages(docs)
     out = out.where((F.col("n_removed_lines") == 0) | F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed_lines") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -1,11 +1,18 @@
-"""Removal of repeated multi-line chunks, cut where a rolling hash over line hashes says so.
+"""Removal of repeated passages: multi-line chunks, cut where a rolling hash over line hashes says so, and line runs.
 
 A text's lines are hashed; a cut follows line i where the rolling hash of the WINDOW lines up to i has its low MASK_BITS
 bits zero and the chunk has LEAST lines.  The cut depends on the lines nearby only, so lines inserted before a shared
 passage don't shift its chunks.  A chunk of LEAST lines or more that holds a word and comes again anywhere in the corpus is
 removed, except where it comes first (smallest doc_id, then place).
 
-Chunks are first met by a 128-bit hash (small rows: hash, document, place); only hashes that come twice have their bytes
+Content-defined cuts seldom fall on a passage's own edges, so `remove_repeated_passages` also takes every line with the
+next line that holds a word (a link, with the blank lines between them) and every single line of LEAST_WORDS words.  Links
+that stand earlier are chained to runs; a run of LEAST_WORDS words goes, wherever its edges are, and so does a long line.
+A removed line always stands at an earlier place too, so the first place of each line is never lost.  The lines of a run
+stand earlier pair by pair, which is weaker than the whole run standing at one place.  `remove_repeated_chunks` takes the
+chunks alone.
+
+Chunks, links and lines are first met by a 128-bit hash (small rows: hash, document, place); only hashes that come twice have their bytes
 cut out, and only where all bytes under one hash are equal (the least equals the greatest) anything is removed.  Sums
 and minima are pre-aggregated, so one chunk may hold a third of all rows.
 
@@ -24,6 +31,9 @@ from pyspark.sql import functions as F
 from spindrift.llm.common import large_text, map_slices, written
 
 WINDOW, MASK_BITS, LEAST = 2, 1, 2
+#: Least words of a repeated run of lines, or of a repeated single line.
+LEAST_WORDS = 20
+CHUNK, LINK, LINE = 0, 1, 2
 #: Most bytes of places that are sent to the texts; beyond that texts and places are shuffled.
 BROADCAST_BYTES = 48 << 20
 MASK64 = (1 << 64) - 1
@@ -55,23 +65,31 @@ def split(text: str) -> list[bytes]:
     return text.encode().split(b"\n") if text else []
 
 
-def chunk_rows(part: pa.RecordBatch) -> pa.RecordBatch:
-    a, b, doc, at, n = [], [], [], [], []
+def units(lines: list[bytes], passages: bool) -> list[tuple[int, int, int]]:
+    """(kind, first line, lines) of all that may be met again: chunks and, for passages, links and long lines."""
+    n_words = [len(x.split()) for x in lines]
+    out = [(CHUNK, a, n) for a, n in chunks_of(line_hashes(lines)) if n >= LEAST and any(n_words[a : a + n])] if len(lines) >= LEAST else []
+    if passages:
+        full = [i for i, n in enumerate(n_words) if n]
+        out += [(LINK, i, k + 1 - i) for i, k in zip(full, full[1:], strict=False)]
+        out += [(LINE, i, 1) for i in full if n_words[i] >= LEAST_WORDS]
+    return out
+
+
+def unit_rows(part: pa.RecordBatch, passages: bool) -> pa.RecordBatch:
+    a, b, doc, at, n, kinds = [], [], [], [], [], []
     for d, text in zip(part.column("doc_id").to_pylist(), large_text(part.column("text")).to_pylist(), strict=True):
         lines = split(text)
-        if len(lines) < LEAST:
-            continue
-        for first, count in chunks_of(line_hashes(lines)):
-            chunk = lines[first : first + count]
-            if count >= LEAST and any(x.split() for x in chunk):
-                h = xxhash.xxh3_128_intdigest(b"\n".join(chunk))
-                a.append((h >> 64) - (1 << 63))
-                b.append((h & MASK64) - (1 << 63))
-                doc.append(d)
-                at.append(first)
-                n.append(count)
-    cols = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32())]
-    return pa.RecordBatch.from_arrays(cols, names=["c1", "c2", "doc_id", "first", "n"])
+        for kind, first, count in units(lines, passages):
+            h = xxhash.xxh3_128_intdigest(b"\n".join(lines[first : first + count]), kind)
+            a.append((h >> 64) - (1 << 63))
+            b.append((h & MASK64) - (1 << 63))
+            doc.append(d)
+            at.append(first)
+            n.append(count)
+            kinds.append(kind)
+    cols = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(kinds, pa.int32())]
+    return pa.RecordBatch.from_arrays(cols, names=["c1", "c2", "doc_id", "first", "n", "kind"])
 
 
 def cut_rows(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -93,36 +111,62 @@ def sent_or_shuffled(small: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """doc_id and gone (array of first line, lines): the chunks that go."""
+def removals(docs: DataFrame, passages: bool = False) -> DataFrame:
+    """doc_id and gone (array of first line, lines, kind): what stands at an earlier place too."""
     texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(map_slices(texts, chunk_rows, "c1 long, c2 long, doc_id long, first int, n int"), "chunks")
+    rows = written(map_slices(texts, lambda part: unit_rows(part, passages), "c1 long, c2 long, doc_id long, first int, n int, kind int"), "chunks")
     twice = rows.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("c1", "c2")
     again = written(rows.join(twice, ["c1", "c2"], "left_semi"), "again")
     places = written(again.groupBy("doc_id").agg(F.collect_set(F.struct("c1", "c2", "first", "n")).alias("places")), "places")
-    cuts = map_slices(texts.join(sent_or_shuffled(places, 120), "doc_id").select("doc_id", "text", "places"), cut_rows, "c1 long, c2 long, doc_id long, first int, body binary")
+    cuts = map_slices(texts.join(F.broadcast(places) if again.count() * 40 <= BROADCAST_BYTES else places, "doc_id").select("doc_id", "text", "places"), cut_rows, "c1 long, c2 long, doc_id long, first int, body binary")
     same = cuts.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "first")).alias("keep"), F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo = hi").select("c1", "c2", "keep")
     gone = again.join(written(same, "same"), ["c1", "c2"]).where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("first") != F.col("keep.first")))
-    return gone.groupBy("doc_id").agg(F.collect_set(F.struct("first", "n")).alias("gone"))
+    return gone.groupBy("doc_id").agg(F.collect_set(F.struct("first", "n", "kind")).alias("gone"))
+
+
+def dropped(lines: list[str], found: list) -> np.ndarray:
+    """Which lines go, given the chunks, links and long lines that stand earlier."""
+    drop = np.zeros(len(lines), bool)
+    run: list[int] = []
+    for kind, first, end in sorted((x["kind"], x["first"], x["first"] + x["n"]) for x in found):
+        if kind != LINK:
+            drop[first:end] = True
+        elif run and first == run[1] - 1:  # a link begins at the line that the one before it ends with
+            run[1] = end
+        else:
+            drop_run(drop, lines, run)
+            run = [first, end]
+    drop_run(drop, lines, run)
+    return drop
+
+
+def drop_run(drop: np.ndarray, lines: list[str], run: list[int]) -> None:
+    if run and sum(len(x.encode().split()) for x in lines[run[0] : run[1]]) >= LEAST_WORDS:
+        drop[run[0] : run[1]] = True
+
+
+def remove_repeated_passages(docs: DataFrame) -> DataFrame:
+    """docs with text less its repeated chunks, runs of lines and long lines, and the numbers of `remove_repeated_chunks`."""
+    return remove_repeated_chunks(docs, passages=True)
 
 
-def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
-    """docs with text less its repeated chunks, and n_lines, n_removed_lines, n_removed_chunks (long)."""
-    gone = written(removals(docs), "gone").withColumnRenamed("doc_id", "__id").withColumnRenamed("gone", "__gone")
+def remove_repeated_chunks(docs: DataFrame, passages: bool = False) -> DataFrame:
+    """docs with text less its repeated chunks, and n_lines, n_removed_lines, n_removed_chunks (long; stretches of lines)."""
+    found = removals(docs, passages).withColumnRenamed("doc_id", "__id").withColumnRenamed("gone", "__gone")
+    gone = written(found, "gone")
+    n_gone = gone.agg(F.sum(F.size("__gone"))).first()[0] or 0
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines", "n_removed_chunks")]
-    both = docs.select(*kept).join(sent_or_shuffled(gone, 80), F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
+    both = docs.select(*kept).join(F.broadcast(gone) if n_gone * 24 <= BROADCAST_BYTES else gone, F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
     rest = [f for f in both.schema if f.name not in ("text", "__gone")]
 
     def apply(part: pa.RecordBatch) -> pa.RecordBatch:
         texts, n_lines, n_gone, n_chunks = [], [], [], []
         for text, found in zip(part.column("text").to_pylist(), part.column("__gone").to_pylist(), strict=True):
             lines = text.split("\n") if text else []
-            drop = np.zeros(len(lines), bool)
-            for x in found or []:
-                drop[x["first"] : x["first"] + x["n"]] = True
+            drop = dropped(lines, found or [])
             n_lines.append(len(lines))
             n_gone.append(int(drop.sum()))
-            n_chunks.append(len(found or []))
+            n_chunks.append(int(drop[:1].sum() + (drop[1:] & ~drop[:-1]).sum()))
             texts.append(text if not n_gone[-1] else "\n".join(x for x, d in zip(lines, drop, strict=True) if not d))
         names = [f.name for f in rest]
         cols = [part.column(c) for c in names] + [pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in (n_lines, n_gone, n_chunks))]

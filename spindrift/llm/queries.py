@@ -48,7 +48,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_line_chunks")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_chunks.remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_chunks.remove_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 @query("op5_decontaminate")

@@ -201,6 +201,22 @@ def test_line_chunks_shift_resistant():
     assert len(chunks(a, 1) & chunks(b, 3)) > 0.5 * len(chunks(a, 1))
 
 
+def test_repeated_passages_between_other_neighbours(spark):
+    rng = random.Random(5)
+    line = lambda n=9: " ".join("".join(rng.choice("bcdfgaeiou") for _ in range(6)) for _ in range(n))
+    passages = [[line(60)], [line(25)], [line(12), line(14)], [line(8), "", line(9), line(11)], [line() for _ in range(12)]]
+    hosts = [[[line() for _ in range(rng.randint(1, 5))] for _ in range(len(passages) + 1)] for _ in range(3)]
+    docs = ["\n".join(x for k, own in enumerate(h) for x in [*own, *(passages[k] if k < len(passages) else [])]) for h in hosts]
+    short = line(4)
+    docs += [f"{line()}\n{short}\n{line()}", f"{line()}\n{short}\n{line()}", line(30), None]
+    got = by_id(line_chunks.remove_repeated_passages(frame(spark, docs)))
+    assert got[0].text == docs[0]  # the first occurrence stays
+    for i in (1, 2):
+        assert got[i].text == "\n".join(x for own in hosts[i] for x in own)
+        assert (got[i].n_removed_lines, got[i].n_removed_chunks) == (20, 5)
+    assert [got[i].text for i in range(3, 7)] == docs[3:7]  # a short line that comes again stays
+
+
 # ---- 5
 
 
