@@ -5,7 +5,10 @@
    passages (SAMPLE documents by hash of the id; items weigh ITEM_WEIGHT).  Executors hold the rows and return
    products with thin matrices; the driver orthogonalises.  The right singular vectors map words to RANK dimensions.
 3. Every passage of every document (PASSAGE words, half overlapping, whole texts) is mapped and compared with every
-   item by cosine, in blocks; an item at COSINE or more is a candidate, without a limit on their number.
+   item by cosine, in blocks; an item at COSINE or more is a candidate, without a limit on their number.  So is, whatever
+   its cosine, every item that could hold LCS of its words: its rarest words (POSTED of its length) are posted, and a
+   passage whose surroundings hold fewer of them than LCS leaves after all other words can't be confirmed.  This path is
+   exact, so rank, sample and the benchmark's size have no part in which pairs are found.
 4. A candidate goes on if the words that item and passage share, an upper bound of what follows, hold LCS of the
    item's words.  It is confirmed on words: the longest common subsequence of the item and the passage (widened by the item's
    length on both sides) must hold LCS of the item's words, and its answer (the last quarter of the words) ANSWER of its.
@@ -28,6 +31,10 @@ from spindrift.llm.common import give_back, map_slices, mix64, words_of
 WORD_BITS, RANK, EXTRA, ROUNDS = 15, 152, 8, 2
 PASSAGE, SAMPLE, ITEM_WEIGHT, ITEMS = 48, 1500, 4.0, 5000
 COSINE, LCS, ANSWER = 0.45, 0.6, 0.5
+#: Share of an item's words, from the rarest on, that the exact path looks up; above 1 - LCS nothing is lost, so it only sets the time.
+POSTED = 0.6
+#: Most (document, item) sums of a slice that are formed to leave out what no region can hold; beyond, regions alone decide.
+MOST_CELLS = 1 << 22
 #: Text searched at once in a task: its passages' vectors take some ten times as much.
 SEARCH_BYTES = 1 << 20
 TRIM = ".,;:!?\"'()[]{}*#$%&|<>"
@@ -167,6 +174,61 @@ def latent(bucket: np.ndarray, starts: np.ndarray, vectors: np.ndarray) -> np.nd
     return out
 
 
+def posted(items: list, rarity: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Postings of the items' rarest words: (offsets by word, item, weight), and each item's length and least weight.
+
+    The weight of a word is how often the item has it; a region with less than the least weight can't hold LCS of it.
+    """
+    words, owner, weight, lens, least = [], [], [], [], []
+    for q, (_, own, distinct, _) in enumerate(items):
+        n = {w: own.count(w) for w in distinct}
+        total = 0
+        for w in sorted(n, key=lambda w: (-rarity[w], w)):
+            if total >= POSTED * len(own):
+                break
+            total += n[w]
+            words.append(w)
+            owner.append(q)
+            weight.append(n[w])
+        lens.append(len(own))
+        least.append(LCS * len(own) - (len(own) - total) - 1e-6)
+    words, owner, weight = (np.array(x, np.int64) for x in (words, owner, weight))
+    order = np.argsort(words, kind="stable")
+    return np.searchsorted(words[order], np.arange(len(rarity) + 1)), owner[order], weight[order], np.array(lens, np.int64), np.array(least)
+
+
+def possible(known: np.ndarray, offsets: np.ndarray, blocks: np.ndarray, posts: tuple[np.ndarray, ...]) -> np.ndarray:
+    """(passage, item) rows, ascending: all pairs whose words around the passage may hold LCS of the item's words."""
+    at, owner, weight, lens, least = posts
+    step = PASSAGE // 2
+    place = np.flatnonzero(known >= 0)
+    count = (at[known[place] + 1] - at[known[place]]).astype(np.int64)
+    place, count = place[count > 0], count[count > 0]
+    row = np.repeat(at[known[place]] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    place, item, w = np.repeat(place, count), owner[row], weight[row]
+    doc = np.searchsorted(offsets, np.arange(len(known)), side="right")[place] - 1
+    if (len(offsets) - 1) * len(lens) <= MOST_CELLS:  # what a whole document can't hold its regions can't either
+        cell = doc * len(lens) + item
+        enough = np.bincount(cell, w, (len(offsets) - 1) * len(lens)) >= np.tile(least, len(offsets) - 1)
+        ok = enough[cell]
+        place, item, w, doc = place[ok], item[ok], w[ok], doc[ok]
+    order = np.argsort(item, kind="stable")  # places ascend already
+    place, item, w, doc = place[order], item[order], w[order], doc[order]
+    # what the widest region that begins at a word holds, of its own document
+    size = len(known) + 1
+    end = np.minimum(place + PASSAGE + 2 * lens[item], offsets[doc + 1])
+    total = np.concatenate(([0], np.cumsum(w)))
+    ok = total[np.searchsorted(item * size + place, item * size + end)] - total[:-1] >= least[item]
+    place, item, doc = place[ok], item[ok], doc[ok]
+    # the passages whose regions hold that word
+    inside, wide = place - offsets[doc], lens[item]
+    low = np.maximum(0, -((PASSAGE + wide - 1 - inside) // step))
+    high = np.minimum(blocks[doc] - 1, (inside + wide) // step)
+    n = np.maximum(high - low + 1, 0)
+    passage = np.repeat((np.cumsum(blocks) - blocks)[doc] + low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return np.unique(np.stack([passage, np.repeat(item, n)], 1), axis=0)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, cosine, lcs and answer (shares of the item's and its answer's words), n_passages that agree."""
     spark: SparkSession = docs.sparkSession
@@ -211,13 +273,16 @@ def search(texts: DataFrame, items: DataFrame, idf: np.ndarray, schema: str) ->
     for i in good:
         w = [number[x] for x in item_words[i]]
         coded.append((int(item_ids[i]), w, frozenset(w), len(w) - len(set(w))))
-    box = spark.sparkContext.broadcast((weighted, np.ascontiguousarray(own.T), coded, vocabulary))
+    rarity = np.zeros(len(vocabulary))
+    for names_at, b in zip(codes.tolist(), bucket.tolist(), strict=True):
+        rarity[number[names[names_at]]] = idf[b]
+    box = spark.sparkContext.broadcast((weighted, np.ascontiguousarray(own.T), coded, vocabulary, posted(coded, rarity)))
     del vectors, weighted
     give_back()
     step = PASSAGE // 2
 
     def find(part: pa.RecordBatch) -> pa.RecordBatch:
-        vectors, own, items, vocabulary = box.value
+        vectors, own, items, vocabulary, posts = box.value
         offsets, bucket, codes, uniques = buckets_of(part.column("text"))
         doc_ids = part.column("doc_id").to_pylist()
         n = np.diff(offsets)
@@ -236,10 +301,14 @@ def search(texts: DataFrame, items: DataFrame, idf: np.ndarray, schema: str) ->
             whole /= np.maximum(np.sqrt(np.einsum("ij,ij->i", whole, whole))[:, None], 1e-9)
             best: dict = {}
             widest = max(len(x[1]) for x in items)
+            exact = possible(known, offsets, blocks, posts)
             for lo in range(0, len(whole), 4096):
                 sims = whole[lo : lo + 4096] @ own
+                near = sims >= COSINE
+                part_of = exact[np.searchsorted(exact[:, 0], lo) : np.searchsorted(exact[:, 0], lo + len(sims))]
+                near[part_of[:, 0] - lo, part_of[:, 1]] = True
                 last = -1
-                for p, q in np.argwhere(sims >= COSINE).tolist():
+                for p, q in np.argwhere(near).tolist():
                     if p != last:  # the words around the passage, as wide as any item needs
                         i, last = int(doc[lo + p]), p
                         begin = int(starts[lo + p])

@@ -237,6 +237,31 @@ def test_decontamination(spark):
     assert decontaminate.leaks(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("size", [40, 600])
+def test_decontamination_equals_brute_force(spark, size):
+    """Many items of one narrow vocabulary, far more than the basis has directions for: every pair by LCS is found."""
+    rng = random.Random(size)
+    common = ["".join(rng.choice("bcdfgaeiou") for _ in range(5)) for _ in range(300)]
+    draw = lambda n: [common[int(300 * rng.random() ** 2)] for _ in range(n)]
+    items = [draw(rng.randint(15, 59)) for _ in range(size)]
+    words = []
+    for w in rng.sample(items, 40):
+        other = [x if rng.random() < 0.7 else rng.choice(common) for x in w]
+        words.append([*draw(rng.randint(0, 150)), *other, *draw(rng.randint(0, 150))])
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(frame(spark, [" ".join(w) for w in words]), bench).collect()}
+    want = set()
+    for d, text in enumerate(words):
+        for q, w in enumerate(items):
+            for at in range(0, len(text), 24):
+                region = text[max(0, at - len(w)) : at + 48 + len(w)]
+                tail = w[-max(1, len(w) // 4) :]
+                if decontaminate.lcs(w, region) >= 0.6 * len(w) and decontaminate.lcs(tail, region) >= 0.5 * len(tail):
+                    want.add((d, q))
+                    break
+    assert len(want) >= 20 and got == want
+
+
 def test_lcs():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
