@@ -8,7 +8,7 @@ with one model that starts empty in every block and learns from all lanes after
 s2 and s1 are the ids last confirmed after the two ids before and after the one id before (order 2, order 1); p2 and p1
 are the measured rates at which ids with that much confirmation were right, and mix the orders; P0 are the ids'
 frequencies so far (order 0; every id has at least one part in 2^ORDER0_BITS).  Each lane is one 64-bit carry-less range
-coder that emits 16-bit digits.  Lanes make the arithmetic vectors, so numpy does a step for thousands of ids at once.
+coder that emits 32-bit digits.  Lanes make the arithmetic vectors, so numpy does a step for thousands of ids at once.
 
 Block: MAGIC, version, ids, lanes, vocabulary, documents, crc32 of the ids (little-endian uint32), crc32 of the rest;
 then doc ids, document lengths, digits of each lane, digits.  A block holds whole documents, about BLOCK_IDS ids; a
@@ -31,33 +31,42 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spindrift.llm.bpe import encode_column
+from spindrift.llm.bpe import DOC_BYTES, encode_column
 from spindrift.llm.common import bounded_batches, give_back, slices
 
-MAGIC, VERSION, HEAD = b"SPTK", 1, "<4sHIIIIII"
-BLOCK_IDS, LANES, LEAST_STEPS = 1 << 19, 2048, 64
-TOTAL_BITS, ORDER0_BITS, PAIR_BITS, TOP_CONF = 26, 20, 18, 15
-TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
+MAGIC, VERSION, HEAD = b"SPTK", 2, "<4sHIIIIII"
+BLOCK_IDS, LANES, LEAST_STEPS = 1 << 21, 8192, 64
+TOTAL_BITS, ORDER0_BITS, PAIR_BITS, DIGIT_BITS = 28, 20, 18, 32
+#: Most of what is left that a prediction may take: two of them leave 2^ORDER0_BITS of 2^TOTAL_BITS for order 0.
+MOST_RATE = 1 - 2.0 ** ((ORDER0_BITS - TOTAL_BITS) / 2)
 U = np.uint64
+DIGIT = U(1 << DIGIT_BITS)
+#: Confirmations of a predicted id, 0 to 15, after a miss (even places) and a hit (odd places); a weak one is replaced.
+BEFORE = np.arange(32) >> 1
+WEAK = (np.arange(32) % 2 == 0) & (BEFORE < 2)
+AFTER = np.where(np.arange(32) % 2 == 1, np.minimum(BEFORE + 1, 15), np.where(WEAK, 1, BEFORE >> 1)).astype(np.uint32)
 
 
 class Model:
-    """Predictions for one step of all lanes; encoder and decoder update it with the same ids in the same order."""
+    """Predictions for one step of all lanes; encoder and decoder update it with the same ids in the same order.
+
+    An entry of `one` (by the id before) or `two` (by a hash of the two ids before) is an id and, in its four low bits,
+    how often it was confirmed.
+    """
 
     def __init__(self, vocabulary: int, lanes: int):
         self.size = vocabulary
-        self.counts = np.zeros(vocabulary, np.int64)
-        self.one = np.zeros(vocabulary, np.uint16 if vocabulary <= 1 << 16 else np.uint32)
-        self.conf1 = np.zeros(vocabulary, np.uint8)
-        self.two = np.zeros(1 << PAIR_BITS, self.one.dtype)
-        self.conf2 = np.zeros(1 << PAIR_BITS, np.uint8)
-        self.tries = np.full((2, TOP_CONF + 1), 4.0)
-        self.hits = np.full((2, TOP_CONF + 1), 1.0)
-        self.last = np.zeros((2, lanes), np.int64)
+        self.counts, self.fresh = np.zeros(vocabulary, np.int64), []
+        self.one, self.two = np.zeros(vocabulary, np.uint32), np.zeros(1 << PAIR_BITS, np.uint32)
+        self.tries, self.hits = np.full((2, 16), 4.0), np.full((2, 16), 1.0)
+        self.before, self.mixed = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.step, self.next_build = 0, 0
         self.build()
 
     def build(self):
+        if self.fresh:
+            self.counts += np.bincount(np.concatenate(self.fresh), minlength=self.size)
+            self.fresh = []
         total = int(self.counts.sum())
         room = (1 << ORDER0_BITS) - self.size
         freq = 1 + (self.counts * room // total if total else np.zeros(self.size, np.int64))
@@ -67,55 +76,50 @@ class Model:
         self.next_build = self.step + (1 if self.step < 4 else min(32, self.step // 2))
 
     def predict(self, n: int):
-        """For the first n lanes: s2, s1, their shares and the rest of 2^TOTAL_BITS."""
-        a, b = self.last[0, :n], self.last[1, :n]
-        self.c1 = a
-        self.c2 = ((a * 0x9E3779B1 + b * 0x85EBCA77) >> 7) & ((1 << PAIR_BITS) - 1)
-        self.s1, self.s2 = self.one[a], self.two[self.c2]
-        self.k1, self.k2 = self.conf1[a], self.conf2[self.c2]
-        rate = np.minimum(self.hits / self.tries, 0.98)
-        whole = float(1 << TOTAL_BITS)
-        f2 = (rate[0] * whole * 0.999).astype(np.uint64)[self.k2]
+        """For the first n lanes: the shares of s2 and s1 and the rest of 2^TOTAL_BITS."""
+        a = self.before[:n]
+        self.at = a * 0x9E3779B1
+        self.at += self.mixed[:n]
+        self.at >>= 7
+        self.at &= (1 << PAIR_BITS) - 1
+        e1, e2 = self.one[a], self.two[self.at]
+        self.s1, self.s2, self.k1, self.k2 = e1 >> 4, e2 >> 4, e1 & 15, e2 & 15
+        self.differ = self.s1 != self.s2
+        rate = np.minimum(self.hits / self.tries, MOST_RATE)
+        f2 = (rate[0] * (1 << TOTAL_BITS)).astype(np.uint64)[self.k2]
         rest = U(1 << TOTAL_BITS) - f2
-        r1 = (rate[1] * (1 << 16)).astype(np.uint64)[self.k1]
-        f1 = (rest * r1) >> U(16)
-        same = self.s1 == self.s2
-        f1[same] = 0
-        floor = U(1 << ORDER0_BITS)  # order 0 keeps at least one unit for each id
-        rest = rest - f1
-        short = rest < floor
-        if short.any():
-            give = (floor - rest[short]).astype(np.uint64)
-            take1 = np.minimum(give, f1[short])
-            f1[short] -= take1
-            f2[short] -= give - take1
-            rest[short] = floor
-        self.same = same
+        f1 = rest * (rate[1] * (1 << 16)).astype(np.uint64)[self.k1]
+        f1 >>= U(16)
+        f1 *= self.differ
+        rest -= f1
         return f2, f1, rest
 
-    def update(self, ids: np.ndarray):
-        n = len(ids)
-        hit2, hit1 = ids == self.s2, ids == self.s1
-        live1 = ~self.same & ~hit2
-        for row, conf, hit in ((0, self.k2, hit2), (1, self.k1[live1], hit1[live1])):
-            self.tries[row] += np.bincount(conf, minlength=TOP_CONF + 1)
-            self.hits[row] += np.bincount(conf, weights=hit, minlength=TOP_CONF + 1)
+    def update(self, ids: np.ndarray, hit2: np.ndarray, same1: np.ndarray):
+        """hit2, same1: where the ids are s2, s1."""
+        n, own = len(ids), ids.astype(np.uint32)
+        code2, code1 = self.k2 * 2 + hit2, self.k1 * 2 + same1
+        # order 1 is measured where order 2 said something else and was wrong
+        for row, found in enumerate((np.bincount(code2, minlength=32), np.bincount(code1 + 32 * (hit2 | ~self.differ), minlength=64)[:32])):
+            self.tries[row] += found[::2] + found[1::2]
+            self.hits[row] += found[1::2]
         big = self.tries > 1 << 16
         self.tries[big] /= 2
         self.hits[big] /= 2
-        for table, conf, at, k, hit in ((self.two, self.conf2, self.c2, self.k2, hit2), (self.one, self.conf1, self.c1, self.k1, hit1)):
-            weak = ~hit & (k < 2)
-            conf[at] = np.where(hit, np.minimum(k + 1, TOP_CONF), np.where(weak, 1, k >> 1)).astype(np.uint8)
-            table[at[weak]] = ids[weak]
-        np.add.at(self.counts, ids, 1)
-        self.last[1, :n], self.last[0, :n] = self.last[0, :n], ids
+        for table, at, code, said in ((self.two, self.at, code2, self.s2), (self.one, self.before[:n], code1, self.s1)):
+            entry = np.where(WEAK[code], own, said)
+            entry <<= 4
+            entry |= AFTER[code]
+            table[at] = entry
+        self.fresh.append(ids)
+        self.mixed[:n] = self.before[:n] * 0x85EBCA77
+        self.before[:n] = ids
         self.step += 1
         if self.step >= self.next_build:
             self.build()
 
     def symbols(self) -> np.ndarray:
         if self.table is None:
-            self.table = np.repeat(np.arange(self.size, dtype=self.one.dtype), np.diff(self.cum).astype(np.int64))
+            self.table = np.repeat(np.arange(self.size, dtype=np.uint16 if self.size <= 1 << 16 else np.uint32), np.diff(self.cum).astype(np.int64))
         return self.table
 
 
@@ -127,6 +131,24 @@ def layout(n: int) -> tuple[int, np.ndarray, np.ndarray]:
     return lanes, np.cumsum(size) - size, size
 
 
+def narrowed(rng: np.ndarray, rest: np.ndarray, f2, f1, cum: np.ndarray, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offset, range) of the ids x within the lanes' ranges."""
+    r = rng >> U(TOTAL_BITS)
+    both = f2 + f1
+    start, end = rest * cum[x], rest * cum[x + 1]
+    start >>= U(ORDER0_BITS)
+    end >>= U(ORDER0_BITS)
+    end -= start
+    start += both
+    np.copyto(start, f2, where=hit1)
+    np.copyto(end, f1, where=hit1)
+    np.copyto(start, U(0), where=hit2)
+    np.copyto(end, f2, where=hit2)
+    start *= r
+    end *= r
+    return start, end
+
+
 def compress(ids: np.ndarray, vocabulary: int) -> tuple[int, np.ndarray, np.ndarray]:
     """(lanes, digits of each lane, all digits lane after lane)."""
     n = len(ids)
@@ -136,51 +158,45 @@ def compress(ids: np.ndarray, vocabulary: int) -> tuple[int, np.ndarray, np.ndar
     who: list[np.ndarray] = []
     what: list[np.ndarray] = []
     ids = ids.astype(np.int64)
+
+    def emit(at):
+        who.append(at)
+        what.append((low[at] >> U(DIGIT_BITS)).astype(np.uint32))
+
     for step in range(int(size[0])):
         k = lanes if step < size[-1] else int((size > step).sum())
         x = ids[first[:k] + step]
         f2, f1, rest = model.predict(k)
-        a, b = (rest * model.cum[x]) >> U(ORDER0_BITS), (rest * model.cum[x + 1]) >> U(ORDER0_BITS)
-        hit2 = x == model.s2
-        hit1 = ~hit2 & (x == model.s1) & (f1 > 0)
-        other = f2 + f1
-        start = np.where(hit2, U(0), np.where(hit1, f2, other + a))
-        freq = np.where(hit2, f2, np.where(hit1, f1, b - a))
-        none = hit2 & (f2 == 0)
-        if none.any():
-            start[none], freq[none] = (other + a)[none], (b - a)[none]
-        r = rng[:k] >> U(TOTAL_BITS)
-        low[:k] += r * start
-        rng[:k] = r * freq
-        shift(low, rng, k, lambda at: (who.append(at), what.append((low[at] >> U(48)).astype(np.uint16))))
-        model.update(x)
-    for _ in range(4):  # the rest of every lane's interval
-        who.append(np.arange(lanes))
-        what.append((low >> U(48)).astype(np.uint16))
-        low <<= U(16)
-    who, what = np.concatenate(who), np.concatenate(what)
-    order = np.argsort(who, kind="stable")
-    return lanes, np.bincount(who, minlength=lanes).astype(np.uint32), what[order]
+        hit2, same1 = x == model.s2, x == model.s1
+        offset, rng[:k] = narrowed(rng[:k], rest, f2, f1, model.cum, x, hit2, same1 & ~hit2)
+        low[:k] += offset
+        shift(low, rng, k, emit)
+        model.update(x, hit2, same1)
+    for _ in range(2):  # the rest of every lane's interval
+        emit(np.arange(lanes))
+        low <<= U(DIGIT_BITS)
+    who, what = np.concatenate(who).astype(np.uint16 if lanes <= 1 << 16 else np.uint32), np.concatenate(what)
+    return lanes, np.bincount(who, minlength=lanes).astype(np.uint32), what[np.argsort(who, kind="stable")]
 
 
 def shift(low, rng, k, emit):
-    """Bring the ranges of the first k lanes back above BOTTOM; emit(lanes) is called before each shift by a digit."""
-    at = None
-    while True:
-        lo, ra = (low[:k], rng[:k]) if at is None else (low[at], rng[at])
-        settled = (lo ^ (lo + ra)) < TOP
-        narrow = ~settled & (ra < BOTTOM)
-        go = settled | narrow
-        if not go.any():
-            return
-        own = np.flatnonzero(go) if at is None else at[go]
-        tight = np.flatnonzero(narrow) if at is None else at[narrow]
-        if len(tight):
-            rng[tight] = (~low[tight] + U(1)) & (BOTTOM - U(1))
-        emit(own)
-        low[own] <<= U(16)
-        rng[own] <<= U(16)
-        at = own
+    """Bring the ranges of the first k lanes back to a digit at least; emit(lanes) is called before each shift by a digit.
+
+    A range is shifted when its first digit is settled, or when it is under a digit: then it is cut so that it is settled.
+    """
+    at = np.flatnonzero(rng[:k] < DIGIT)  # others have no settled digit
+    while len(at):
+        lo, ra = low[at], rng[at]
+        settled = (lo ^ (lo + ra)) < DIGIT
+        narrow = ~settled & (ra < DIGIT)
+        if narrow.any():
+            tight = at[narrow]
+            rng[tight] = (~low[tight] + U(1)) & (DIGIT - U(1))
+        at = at[settled | narrow]
+        if len(at):
+            emit(at)
+            low[at] <<= U(DIGIT_BITS)
+            rng[at] <<= U(DIGIT_BITS)
 
 
 def decompress(n: int, vocabulary: int, lanes: int, counts: np.ndarray, digits: np.ndarray) -> np.ndarray:
@@ -188,39 +204,38 @@ def decompress(n: int, vocabulary: int, lanes: int, counts: np.ndarray, digits:
     if own != lanes:
         raise ValueError("lanes don't fit the ids")
     model = Model(vocabulary, lanes)
-    ends = np.cumsum(counts.astype(np.int64))
-    at = ends - counts
-    digits = np.concatenate([digits, np.zeros(8, np.uint16)])
+    at = np.cumsum(counts.astype(np.int64)) - counts
+    digits = np.concatenate([digits, np.zeros(8, np.uint32)])
     code = np.zeros(lanes, np.uint64)
-    for _ in range(4):
-        code = (code << U(16)) | digits[at]
+    for _ in range(2):
+        code = (code << U(DIGIT_BITS)) | digits[at]
         at += 1
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     out = np.empty(n, np.int64)
 
     def feed(who):
-        code[who] = (code[who] << U(16)) | digits[np.minimum(at[who], len(digits) - 1)]
+        code[who] = (code[who] << U(DIGIT_BITS)) | digits[np.minimum(at[who], len(digits) - 1)]
         at[who] += 1
 
     for step in range(int(size[0])):
         k = lanes if step < size[-1] else int((size > step).sum())
         f2, f1, rest = model.predict(k)
-        r = rng[:k] >> U(TOTAL_BITS)
-        v = np.minimum((code[:k] - low[:k]) // r, U((1 << TOTAL_BITS) - 1))
-        other = f2 + f1
-        in2, in1 = v < f2, (v >= f2) & (v < other)
-        deep = ~(in2 | in1)
-        x = np.where(in2, model.s2, model.s1).astype(np.int64)
-        u = v[deep] - other[deep]
-        x[deep] = model.symbols()[np.minimum((((u + U(1)) << U(ORDER0_BITS)) - U(1)) // rest[deep], U((1 << ORDER0_BITS) - 1)).astype(np.int64)]
-        a, b = (rest * model.cum[x]) >> U(ORDER0_BITS), (rest * model.cum[x + 1]) >> U(ORDER0_BITS)
-        start = np.where(in2, U(0), np.where(in1, f2, other + a))
-        freq = np.where(in2, f2, np.where(in1, f1, b - a))
-        low[:k] += r * start
-        rng[:k] = r * np.maximum(freq, U(1))
+        v = code[:k] - low[:k]
+        v //= rng[:k] >> U(TOTAL_BITS)
+        both = f2 + f1
+        hit2 = v < f2
+        hit1 = (v < both) & ~hit2
+        # operands under 2^48, quotients under 2^20: the quotient of doubles has the exact whole part
+        u = np.maximum(v, both) - both
+        u = np.floor((((u + U(1)) << U(ORDER0_BITS)) - U(1)).astype(np.float64) / rest.astype(np.float64)).astype(np.int64)
+        x = model.symbols()[np.minimum(u, (1 << ORDER0_BITS) - 1)].astype(np.int64)
+        np.copyto(x, model.s1, where=hit1)
+        np.copyto(x, model.s2, where=hit2)
+        offset, rng[:k] = narrowed(rng[:k], rest, f2, f1, model.cum, x, hit2, hit1)
+        low[:k] += offset
         shift(low, rng, k, feed)
         out[first[:k] + step] = x
-        model.update(x)
+        model.update(x, hit2, x == model.s1)
     return out
 
 
@@ -228,7 +243,7 @@ def pack(doc_ids: list, lens: np.ndarray, ids: np.ndarray, vocabulary: int) -> b
     """One block of whole documents."""
     lanes, counts, digits = compress(ids, vocabulary)
     null = np.array([d is None for d in doc_ids], np.uint8)
-    body = null.tobytes() + np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + lens.astype("<u4").tobytes() + counts.astype("<u4").tobytes() + digits.astype("<u2").tobytes()
+    body = null.tobytes() + np.array([0 if d is None else d for d in doc_ids], "<i8").tobytes() + lens.astype("<u4").tobytes() + counts.astype("<u4").tobytes() + digits.astype("<u4").tobytes()
     crc = zlib.crc32(np.ascontiguousarray(ids, "<u4"))
     return struct.pack(HEAD, MAGIC, VERSION, len(ids), lanes, vocabulary, len(doc_ids), crc, zlib.crc32(body)) + body
 
@@ -245,7 +260,7 @@ def unpack(block: bytes) -> tuple[list, np.ndarray, np.ndarray]:
     own = np.frombuffer(body, "<i8", docs, docs)
     lens = np.frombuffer(body, "<u4", docs, 9 * docs).astype(np.int64)
     counts = np.frombuffer(body, "<u4", lanes, 13 * docs)
-    ids = decompress(n, vocabulary, lanes, counts, np.frombuffer(body, "<u2", -1, 13 * docs + 4 * lanes)).astype(np.uint32)
+    ids = decompress(n, vocabulary, lanes, counts, np.frombuffer(body, "<u4", -1, 13 * docs + 4 * lanes)).astype(np.uint32)
     if zlib.crc32(np.ascontiguousarray(ids, "<u4")) != crc:
         raise ValueError("the ids are damaged")
     return [None if z else int(d) for d, z in zip(own, null, strict=True)], lens, ids
@@ -274,7 +289,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, vocabular
             give_back()
             return row
 
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", DOC_BYTES):
             ids, offsets = encode_column(b.column("text"), tokenizer)
             for d, a, z in zip(b.column("doc_id").to_pylist(), offsets[:-1], offsets[1:], strict=True):
                 n = int(z - a) + 1
