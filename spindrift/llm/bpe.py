@@ -36,9 +36,9 @@ from pyspark.sql import DataFrame
 
 from spindrift.llm.common import large_text, map_slices
 
-WINDOW, MASK_BITS, DOC_BYTES = 8, 10, 2 << 20
-#: Most bytes that a worker keeps of chunks, of runs and of joins.
-CHUNK_STORE, RUN_STORE, JOIN_STORE = 24 << 20, 56 << 20, 8 << 20
+WINDOW, MASK_BITS, DOC_BYTES = 8, 10, 4 << 20
+#: Most bytes that a worker keeps of chunks and of joins; of runs unless the caller says otherwise.
+CHUNK_STORE, JOIN_STORE, RUN_STORE = 24 << 20, 8 << 20, 160 << 20
 #: White space at which pre-tokens always end, as bytes.
 CUTS = (9, 10, 11, 12, 13, 32)
 BLANK = np.zeros(256, bool)
@@ -389,9 +389,10 @@ def windows_of(raw: np.ndarray, offsets: np.ndarray, at: np.ndarray, to: np.ndar
     return list(zip(*(x.tolist() for x in (start, at, to, stop)), strict=True))
 
 
-def encode_column(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
+def encode_column(column: pa.Array, path: str, run_store: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids as uint32, offsets): text i has the ids [offsets[i], offsets[i + 1])."""
     encoder = worker_encoder(path)
+    encoder.runs.most = run_store or RUN_STORE
     text = large_text(column)
     buffers = text.buffers()
     offsets = np.frombuffer(buffers[1], np.int64)[text.offset : text.offset + len(text) + 1]
@@ -444,11 +445,11 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(bounded, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False, run_store: int | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (ids as little-endian uint32), decoded_sha256 (UTF-8) and, if asked, ids of each row."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        ids, offsets = encode_column(part.column("text"), path)
+        ids, offsets = encode_column(part.column("text"), path, run_store)
         texts = decode_column(ids, offsets, path)
         raw = memoryview(ids.astype("<u4").view(np.uint8))
         spans = list(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))

@@ -44,7 +44,7 @@ DIGIT = U(1 << DIGIT_BITS)
 #: Confirmations of a predicted id, 0 to 15, after a miss (even places) and a hit (odd places); a weak one is replaced.
 BEFORE = np.arange(32) >> 1
 WEAK = (np.arange(32) % 2 == 0) & (BEFORE < 2)
-AFTER = np.where(np.arange(32) % 2 == 1, np.minimum(BEFORE + 1, 15), np.where(WEAK, 1, BEFORE >> 1)).astype(np.uint32)
+CHANGE = np.where(np.arange(32) % 2 == 1, np.minimum(BEFORE + 1, 15), BEFORE >> 1) - BEFORE
 
 
 class Model:
@@ -57,7 +57,7 @@ class Model:
     def __init__(self, vocabulary: int, lanes: int):
         self.size = vocabulary
         self.counts, self.fresh = np.zeros(vocabulary, np.int64), []
-        self.one, self.two = np.zeros(vocabulary, np.uint32), np.zeros(1 << PAIR_BITS, np.uint32)
+        self.one, self.two = np.zeros(vocabulary, np.int64), np.zeros(1 << PAIR_BITS, np.int64)
         self.tries, self.hits = np.full((2, 16), 4.0), np.full((2, 16), 1.0)
         self.before, self.mixed = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.step, self.next_build = 0, 0
@@ -82,13 +82,14 @@ class Model:
         self.at += self.mixed[:n]
         self.at >>= 7
         self.at &= (1 << PAIR_BITS) - 1
-        e1, e2 = self.one[a], self.two[self.at]
-        self.s1, self.s2, self.k1, self.k2 = e1 >> 4, e2 >> 4, e1 & 15, e2 & 15
+        self.e1, self.e2 = self.one.take(a), self.two.take(self.at)
+        self.s1, self.s2, self.k1, self.k2 = self.e1 >> 4, self.e2 >> 4, self.e1 & 15, self.e2 & 15
         self.differ = self.s1 != self.s2
         rate = np.minimum(self.hits / self.tries, MOST_RATE)
-        f2 = (rate[0] * (1 << TOTAL_BITS)).astype(np.uint64)[self.k2]
+        f2 = (rate[0] * (1 << TOTAL_BITS)).astype(np.uint64).take(self.k2)
         rest = U(1 << TOTAL_BITS) - f2
-        f1 = rest * (rate[1] * (1 << 16)).astype(np.uint64)[self.k1]
+        f1 = (rate[1] * (1 << 16)).astype(np.uint64).take(self.k1)
+        f1 *= rest
         f1 >>= U(16)
         f1 *= self.differ
         rest -= f1
@@ -96,22 +97,22 @@ class Model:
 
     def update(self, ids: np.ndarray, hit2: np.ndarray, same1: np.ndarray):
         """hit2, same1: where the ids are s2, s1."""
-        n, own = len(ids), ids.astype(np.uint32)
-        code2, code1 = self.k2 * 2 + hit2, self.k1 * 2 + same1
+        n = len(ids)
+        code2, code1 = (self.k2 << 1) + hit2, (self.k1 << 1) + same1
         # order 1 is measured where order 2 said something else and was wrong
-        for row, found in enumerate((np.bincount(code2, minlength=32), np.bincount(code1 + 32 * (hit2 | ~self.differ), minlength=64)[:32])):
+        for row, found in enumerate((np.bincount(code2, minlength=32), np.bincount(code1[self.differ > hit2], minlength=32))):
             self.tries[row] += found[::2] + found[1::2]
             self.hits[row] += found[1::2]
         big = self.tries > 1 << 16
         self.tries[big] /= 2
         self.hits[big] /= 2
-        for table, at, code, said in ((self.two, self.at, code2, self.s2), (self.one, self.before[:n], code1, self.s1)):
-            entry = np.where(WEAK[code], own, said)
-            entry <<= 4
-            entry |= AFTER[code]
+        fresh = ids << 4
+        for table, at, code, entry in ((self.two, self.at, code2, self.e2), (self.one, self.before[:n], code1, self.e1)):
+            entry += CHANGE.take(code)
+            np.copyto(entry, fresh + 1, where=WEAK.take(code))
             table[at] = entry
         self.fresh.append(ids)
-        self.mixed[:n] = self.before[:n] * 0x85EBCA77
+        np.multiply(self.before[:n], 0x85EBCA77, out=self.mixed[:n])
         self.before[:n] = ids
         self.step += 1
         if self.step >= self.next_build:
@@ -123,19 +124,30 @@ class Model:
         return self.table
 
 
-def layout(n: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """(lanes, first id of each lane, ids of each lane); longer lanes come first."""
+def layout(n: int) -> tuple[int, np.ndarray]:
+    """(lanes, ids of each lane); longer lanes come first."""
     lanes = max(1, min(LANES, n // LEAST_STEPS))
     size = np.full(lanes, n // lanes, np.int64)
     size[: n % lanes] += 1
-    return lanes, np.cumsum(size) - size, size
+    return lanes, size
+
+
+def by_steps(ids: np.ndarray, lanes: int, steps: int) -> np.ndarray:
+    """The ids as one row of all lanes a step, so that a step reads neighbours; short lanes end with a zero."""
+    n_long = len(ids) - lanes * (steps - 1)
+    out = np.zeros((steps, lanes), np.int64)
+    out[:, :n_long] = ids[: n_long * steps].reshape(n_long, steps).T
+    out[:-1, n_long:] = ids[n_long * steps :].reshape(lanes - n_long, steps - 1).T
+    return out
 
 
 def narrowed(rng: np.ndarray, rest: np.ndarray, f2, f1, cum: np.ndarray, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(offset, range) of the ids x within the lanes' ranges."""
     r = rng >> U(TOTAL_BITS)
     both = f2 + f1
-    start, end = rest * cum[x], rest * cum[x + 1]
+    start, end = cum.take(x), cum.take(x + 1)
+    start *= rest
+    end *= rest
     start >>= U(ORDER0_BITS)
     end >>= U(ORDER0_BITS)
     end -= start
@@ -152,12 +164,12 @@ def narrowed(rng: np.ndarray, rest: np.ndarray, f2, f1, cum: np.ndarray, x: np.n
 def compress(ids: np.ndarray, vocabulary: int) -> tuple[int, np.ndarray, np.ndarray]:
     """(lanes, digits of each lane, all digits lane after lane)."""
     n = len(ids)
-    lanes, first, size = layout(n)
+    lanes, size = layout(n)
     model = Model(vocabulary, lanes)
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     who: list[np.ndarray] = []
     what: list[np.ndarray] = []
-    ids = ids.astype(np.int64)
+    rows = by_steps(ids, lanes, int(size[0])) if n else np.zeros((0, lanes), np.int64)
 
     def emit(at):
         who.append(at)
@@ -165,7 +177,7 @@ def compress(ids: np.ndarray, vocabulary: int) -> tuple[int, np.ndarray, np.ndar
 
     for step in range(int(size[0])):
         k = lanes if step < size[-1] else int((size > step).sum())
-        x = ids[first[:k] + step]
+        x = rows[step, :k]
         f2, f1, rest = model.predict(k)
         hit2, same1 = x == model.s2, x == model.s1
         offset, rng[:k] = narrowed(rng[:k], rest, f2, f1, model.cum, x, hit2, same1 & ~hit2)
@@ -200,7 +212,7 @@ def shift(low, rng, k, emit):
 
 
 def decompress(n: int, vocabulary: int, lanes: int, counts: np.ndarray, digits: np.ndarray) -> np.ndarray:
-    own, first, size = layout(n)
+    own, size = layout(n)
     if own != lanes:
         raise ValueError("lanes don't fit the ids")
     model = Model(vocabulary, lanes)
@@ -211,7 +223,7 @@ def decompress(n: int, vocabulary: int, lanes: int, counts: np.ndarray, digits:
         code = (code << U(DIGIT_BITS)) | digits[at]
         at += 1
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    out = np.empty(n, np.int64)
+    rows = np.empty((int(size[0]), lanes), np.int64)
 
     def feed(who):
         code[who] = (code[who] << U(DIGIT_BITS)) | digits[np.minimum(at[who], len(digits) - 1)]
@@ -228,15 +240,16 @@ def decompress(n: int, vocabulary: int, lanes: int, counts: np.ndarray, digits:
         # operands under 2^48, quotients under 2^20: the quotient of doubles has the exact whole part
         u = np.maximum(v, both) - both
         u = np.floor((((u + U(1)) << U(ORDER0_BITS)) - U(1)).astype(np.float64) / rest.astype(np.float64)).astype(np.int64)
-        x = model.symbols()[np.minimum(u, (1 << ORDER0_BITS) - 1)].astype(np.int64)
+        x = model.symbols().take(np.minimum(u, (1 << ORDER0_BITS) - 1)).astype(np.int64)
         np.copyto(x, model.s1, where=hit1)
         np.copyto(x, model.s2, where=hit2)
         offset, rng[:k] = narrowed(rng[:k], rest, f2, f1, model.cum, x, hit2, hit1)
         low[:k] += offset
         shift(low, rng, k, feed)
-        out[first[:k] + step] = x
+        rows[step, :k] = x
         model.update(x, hit2, x == model.s1)
-    return out
+    n_long = int((size == size[0]).sum())
+    return np.concatenate([rows[:, :n_long].T.ravel(), rows[:-1, n_long:].T.ravel()])
 
 
 def pack(doc_ids: list, lens: np.ndarray, ids: np.ndarray, vocabulary: int) -> bytes:
