@@ -16,8 +16,10 @@ import html as html_lib
 import math
 import random
 import re
+from bisect import bisect_right
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -31,7 +33,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-SIBLING_ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table tbody thead tfoot"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
+SIBLING_ENDS = {
+    tag: (ends.split(), stop.split())
+    for tag, ends, stop in (("li", "li", "ul ol menu"), ("dt", "dt dd", "dl"), ("dd", "dt dd", "dl"), ("tr", "tr td th", "table tbody thead tfoot"), ("td", "td th", "tr table"), ("th", "td th", "tr table"), ("option", "option", "select"))
+}
 CHROME = frozenset("nav header footer aside form button select menu dialog fieldset noscript template svg canvas head object audio video label input textarea".split())
 HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PROSE = frozenset("p blockquote pre li td th dd dt figcaption caption".split())
@@ -43,7 +48,7 @@ BAD = re.compile(
 FEATURES = {
     f: i
     for i, f in enumerate(
-        "bias text element chrome article head prose container inline good bad hidden linky longtext midtext shorttext sentence symbol under_a under_head under_prose dense sparse".split()
+        "bias text element chrome article head prose container inline good bad hidden linky linked_prose link_in_text longtext midtext shorttext sentence symbol under_a under_linked_prose under_link_in_text under_head under_prose dense sparse".split()
     )
 }
 EDGES = {"plain": 0, "chrome": 1, "article": 2, "text": 3, "badname": 4, "in_article": 5}
@@ -53,6 +58,9 @@ def tree(page: str) -> tuple[list, list, list, list]:
     """(parents, tags, names, texts) in page order; texts[i] is None for an element.  Node 0 is the page."""
     parents, tags, names, texts = [-1], ["#page"], [""], [None]
     stack = [0]
+    # depths on the stack by tag, of what isn't inline, and of what a paragraph can't reach across
+    open_at: dict[str, list[int]] = {}
+    solid, walls = [0], [0]
     at, n = 0, len(page)
 
     def add(tag, name, text):
@@ -62,8 +70,24 @@ def tree(page: str) -> tuple[list, list, list, list]:
         texts.append(text)
         return len(tags) - 1
 
+    def opened(node, tag):
+        depth = len(stack)
+        stack.append(node)
+        open_at.setdefault(tag, []).append(depth)
+        if tag not in INLINE:
+            solid.append(depth)
+            if tag not in HEADS and tag != "p":
+                walls.append(depth)
+
     def close_to(depth):
-        del stack[depth:]
+        while len(stack) > depth:
+            open_at[tags[stack.pop()]].pop()
+        for marks in (solid, walls):
+            while marks[-1] >= depth:
+                marks.pop()
+
+    def nearest(some):
+        return max((open_at[t][-1] for t in some if open_at.get(t)), default=0)
 
     while at < n:
         m = TOKEN.search(page, at)
@@ -79,23 +103,21 @@ def tree(page: str) -> tuple[list, list, list, list]:
             continue
         tag = tag.lower()
         if m["end"]:
-            for d in range(len(stack) - 1, 0, -1):
-                if tags[stack[d]] == tag:
-                    close_to(d)
-                    break
-                if tag in INLINE and tags[stack[d]] not in INLINE:
-                    break
+            d = nearest((tag,))
+            if d and not (tag in INLINE and solid[-1] > d):
+                close_to(d)
             continue
-        if tag in CLOSES_P or tag in SIBLING_ENDS:
-            ends, stop = SIBLING_ENDS.get(tag, ("p", ""))
-            for d in range(len(stack) - 1, 0, -1):
-                t = tags[stack[d]]
-                if t in ends.split() or (t == "p" and tag in CLOSES_P):
-                    close_to(d)
-                    if tag not in ("tr", "dd", "dt"):
-                        break
-                elif t in stop.split() or (t not in INLINE and t not in HEADS and tag in CLOSES_P):
-                    break
+        if tag in SIBLING_ENDS:
+            ends, stop = SIBLING_ENDS[tag]
+            wall = nearest(stop)
+            if tag in ("tr", "dd", "dt"):  # whatever stands open since the table or list
+                d = min((x[bisect_right(x, wall)] for t in ends if (x := open_at.get(t)) and x[-1] > wall), default=0)
+            else:
+                d = nearest(ends)
+            if d > wall:
+                close_to(d)
+        elif tag in CLOSES_P and nearest(("p",)) > walls[-1]:
+            close_to(nearest(("p",)))
         attrs = m["attrs"] or ""
         name = ""
         if attrs:
@@ -115,7 +137,7 @@ def tree(page: str) -> tuple[list, list, list, list]:
             m2 = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = m2.end() if m2 else n
             continue
-        stack.append(node)
+        opened(node, tag)
     return parents, tags, names, texts
 
 
@@ -135,6 +157,15 @@ def features(parents, tags, names, texts) -> tuple[list[list[int]], list[int]]:
     f = FEATURES
     out, edges = [], []
     inside = [""] * n
+    # the block that holds each node, and the kinds of links: alone in a block of prose, beside other text in any block
+    block = [0] * n
+    for i in range(1, n):
+        block[i] = block[parents[i]] if texts[i] is not None or tags[i] in INLINE else i
+
+    def link(i):
+        b = block[i]
+        return "link_in_text" if linked[b] < size[b] else "linked_prose" if tags[b] in PROSE - {"li", "td", "th"} or tags[b] in HEADS else ""
+
     for i in range(n):
         own = [f["bias"]]
         tag, p = tags[i], parents[i]
@@ -151,7 +182,7 @@ def features(parents, tags, names, texts) -> tuple[list[list[int]], list[int]]:
                 q = parents[q]
             up = tags[q]
             if up == "a":
-                own.append(f["under_a"])
+                own.append(f["under_" + (link(i) or "a")])
             elif up in HEADS:
                 own.append(f["under_head"])
             elif up in PROSE:
@@ -190,7 +221,8 @@ def features(parents, tags, names, texts) -> tuple[list[list[int]], list[int]]:
                 elif GOOD.search(name):
                     own.append(f["good"])
             if size[i]:
-                own.append(f["linky"] if linked[i] * 2 > size[i] else f["dense"] if size[i] > 200 else f["sparse"])
+                linky = "linky" if tag not in INLINE and tag not in HEADS and tag not in PROSE else link(i) or "linky"
+                own.append(f[linky] if linked[i] * 2 > size[i] else f["dense"] if size[i] > 200 else f["sparse"])
             if edge == "plain" and p >= 0 and tags[p] in ("article", "main") and not BAD.search(names[p]):
                 edge = "in_article"
             edges.append(EDGES[edge])
@@ -244,7 +276,24 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, set[str]]]:
 
         short = rng.random() < 0.3
 
+        def linked(t, share):
+            """t with some of its words in links; each piece between tags is content."""
+            words, out, plain, at = t.split(), [], [], 0
+            while at < len(words):
+                k = rng.randint(1, 6)
+                if rng.random() < share:
+                    out += [text(" ".join(plain))] * bool(plain) + [f'<a href="/{word()}">{text(" ".join(words[at : at + k]))}</a>']
+                    plain = []
+                else:
+                    plain += words[at : at + k]
+                at += k
+            return " ".join(out + [text(" ".join(plain))] * bool(plain))
+
         def para():
+            if rng.random() < 0.25:
+                t = " ".join(sentence() for _ in range(rng.randint(1, 4)))
+                end = "</p>" if rng.random() < 0.7 else ""
+                return rng.choice([f"<p>{linked(t, 0.2)}{end}", f"<p>{linked(t, 0.6)}{end}", f'<p><a href="/{word()}">{text(sentence())}</a>{end}', f"<ul><li>{linked(t, 0.3)}</li><li>{linked(sentence(), 0.3)}</li></ul>", f'<h2><a href="#{word()}">{text(phrase(4))}</a></h2>', f"<h3>{linked(phrase(6), 0.5)}</h3>"])
             if short:
                 return f"<p>{text(rng.choice([phrase(rng.randint(1, 4)), phrase(2) + '.', phrase(rng.randint(20, 60)), ' '.join([word()] * rng.randint(3, 40))]))}{'</p>' if rng.random() < 0.7 else ''}"
             return f"<p>{'<b>' if rng.random() < 0.2 else ''}{text(' '.join(sentence() for _ in range(rng.randint(1, 6))))}{'</p>' if rng.random() < 0.7 else ''}"
@@ -282,7 +331,7 @@ def labelled_pages(n: int = 240, seed: int = 11) -> list[tuple[str, set[str]]]:
 
 
 @lru_cache(1)
-def trained(pages: int = 240, rounds: int = 150, rate: float = 4.0, seed: int = 11) -> tuple[tuple[float, ...], tuple[tuple[float, ...], ...]]:
+def trained(pages: int = 360, rounds: int = 200, rate: float = 4.0, seed: int = 11) -> tuple[tuple[float, ...], tuple[tuple[float, ...], ...]]:
     """(unary weights, edge tables) by gradient ascent on the conditional log-likelihood of labelled_pages."""
     data = []
     for page, good in labelled_pages(pages, seed):
@@ -298,35 +347,51 @@ def trained(pages: int = 240, rounds: int = 150, rate: float = 4.0, seed: int =
             if t in ("#page", "html", "body"):
                 label[i] = 1
         data.append((feats, edges, parents, label))
-    w = [0.0] * len(FEATURES)
-    psi = [[0.0] * 4 for _ in EDGES]
-    gw2, gp2 = [1e-3] * len(w), [[1e-3] * 4 for _ in EDGES]
-    count = sum(len(d[3]) for d in data)
+    # all pages as one forest: a page's nodes stand together, parents before children
+    starts = np.cumsum([0, *(len(d[3]) for d in data)])
+    n, width = int(starts[-1]), len(FEATURES)
+    x = np.zeros((n, width))
+    for (feats, _, _, _), at in zip(data, starts, strict=False):
+        for i, f in enumerate(feats):
+            x[at + i, f] = 1
+    kind = np.concatenate([d[1] for d in data])
+    label = np.concatenate([d[3] for d in data])
+    parent = np.concatenate([np.array(d[2]) + at for d, at in zip(data, starts, strict=False)])
+    root = np.zeros(n, bool)
+    root[starts[:-1]] = True
+    parent[root] = np.flatnonzero(root)
+    depth = np.zeros(n, int)
+    for i in np.flatnonzero(~root):
+        depth[i] = depth[parent[i]] + 1
+    levels = [np.flatnonzero(depth == k) for k in range(1, int(depth.max()) + 1)]
+    child = np.flatnonzero(~root)
+    observed = np.bincount(kind[child] * 4 + 2 * label[parent[child]] + label[child], minlength=4 * len(EDGES)).reshape(-1, 4)
+    w, psi = np.zeros(width), np.zeros((len(EDGES), 4))
+    gw2, gp2 = np.full(width, 1e-3), np.full((len(EDGES), 4), 1e-3)
     for _ in range(rounds):
-        gw, gp = [-1e-4 * x * count for x in w], [[-1e-4 * x * count for x in r] for r in psi]
-        for feats, edges, parents, label in data:
-            total, up, cavity = sum_product([sum(w[k] for k in f) for f in feats], edges, parents, psi)
-            for i, f in enumerate(feats):
-                d = label[i] - 1 / (1 + math.exp(-max(-30, min(30, total[i]))))
-                for k in f:
-                    gw[k] += d
-                if i:
-                    t, g = psi[edges[i]], gp[edges[i]]
-                    s = [t[0], t[1] + up[i], t[2] + cavity[i], t[3] + cavity[i] + up[i]]
-                    top = max(s)
-                    e = [math.exp(x - top) for x in s]
-                    z = sum(e)
-                    for k in range(4):
-                        g[k] -= e[k] / z
-                    g[2 * label[parents[i]] + label[i]] += 1
-        for k, g in enumerate(gw):  # steps scaled by the gradients so far
-            gw2[k] += (g / count) ** 2
-            w[k] += rate * 0.1 * (g / count) / math.sqrt(gw2[k])
-        for r, gr, sr in zip(psi, gp, gp2, strict=True):
-            for k, g in enumerate(gr):
-                sr[k] += (g / count) ** 2
-                r[k] += rate * 0.1 * (g / count) / math.sqrt(sr[k])
-    return tuple(w), tuple(map(tuple, psi))
+        up, msg, cavity = x @ w, np.zeros(n), np.zeros(n)
+        for at in reversed(levels):
+            p00, p01, p10, p11 = psi[kind[at]].T
+            msg[at] = np.logaddexp(p10, p11 + up[at]) - np.logaddexp(p00, p01 + up[at])
+            np.add.at(up, parent[at], msg[at])
+        total = up.copy()
+        for at in levels:
+            p00, p01, p10, p11 = psi[kind[at]].T
+            cavity[at] = total[parent[at]] - msg[at]
+            total[at] = up[at] + np.logaddexp(p01, p11 + cavity[at]) - np.logaddexp(p00, p10 + cavity[at])
+        # observed minus expected counts, of features and of pairs
+        gw = x.T @ (label - 1 / (1 + np.exp(-np.clip(total, -30, 30)))) / n - 1e-4 * w
+        u, c = up[child], cavity[child]
+        joint = psi[kind[child]] + np.stack([0 * u, u, c, c + u], 1)
+        joint = np.exp(joint - joint.max(axis=1, keepdims=True))
+        joint /= joint.sum(axis=1, keepdims=True)
+        expected = np.stack([np.bincount(kind[child], weights=joint[:, k], minlength=len(EDGES)) for k in range(4)], 1)
+        gp = (observed - expected) / n - 1e-4 * psi
+        gw2 += gw**2  # steps scaled by the gradients so far
+        gp2 += gp**2
+        w += rate * 0.1 * gw / np.sqrt(gw2)
+        psi += rate * 0.1 * gp / np.sqrt(gp2)
+    return tuple(w.tolist()), tuple(map(tuple, psi.tolist()))
 
 
 def main_text(page: str | None, model) -> tuple[str, list[float]]:

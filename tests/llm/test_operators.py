@@ -77,6 +77,35 @@ def test_html_held_out_and_broken(spark):
     assert html_tree.main_text(noisy, (w, psi))[0] == "Title here\nFirst & foremost, a long sentence stands here.\nSecond one <ok> follows it."
 
 
+def test_html_links_in_prose():
+    model = html_tree.trained()
+    text = lambda page: html_tree.main_text(page, model)[0]
+    assert text("<p>He said <a href=x>linked words</a> there.</p>") == "He said linked words there."
+    assert text("<article><p>He said <a href=x>linked words</a> there.</p></article>") == "He said linked words there."
+    page = '<html><body><nav><ul><li><a href="/">Home</a></li><li><a href="/n">News today</a></li></ul></nav>{}<footer>&copy; Some Site 2020</footer></body></html>'
+    for shell in ("<article>{}</article>", "<main>{}</main>", '<div class="post-content">{}</div>', "<div id=content><div class=entry>{}</div></div>", "<section>{}</section>"):
+        body = '<h1>A <a href="/t">title</a> here</h1><p><a href="/a">Almost everything</a> in <a href="/b">this paragraph stands</a> <a href="/c">within links.</a></p><p>Plain <b>bold <a href=q>and linked</a></b> words, as usual.</p><ul><li><a href="/d">First</a> thing to know.</li></ul>'
+        want = "A title here\nAlmost everything in this paragraph stands within links.\nPlain bold and linked words, as usual.\nFirst thing to know."
+        assert text(page.format(shell.format(body))) == want, shell
+
+
+def test_html_long_and_deep_pages():
+    import time
+
+    model = html_tree.trained()
+    began = time.process_time()
+    deep = "<div>" * 20000 + "</center>" * 20000 + "<p>Words at the bottom of it all, long enough to be read.</p>"
+    assert html_tree.main_text(deep, model)[0] in ("", "Words at the bottom of it all, long enough to be read.")
+    html_tree.main_text("<p>" + "<b>" * 20000 + "<hr>" * 20000 + "x", model)
+    html_tree.main_text("<li><ul>" + "<div>" * 20000 + "<li></li>" * 20000, model)
+    html_tree.main_text('<a x="' * 20000, model)
+    sentence = "This is one of very many sentences, each like the others. "
+    page = "<article>" + f"<p>{sentence * 10}</p>" * 9000 + "</article>"
+    assert len(page) > 5_000_000
+    assert html_tree.main_text(page, model)[0].count("\n") == 8999
+    assert time.process_time() - began < 60
+
+
 def test_sum_product_exact():
     rng = random.Random(1)
     parents, edges = [-1, 0, 0, 1, 1], [0, 1, 0, 1, 0]
