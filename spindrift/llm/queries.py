@@ -43,7 +43,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_toxicity")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_words", "log_ratio", "marked")
 
 
 @query("op4_line_chunks")
@@ -64,7 +64,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_byte_cnn")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = byte_cnn.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_chunks")
 
 
 @query(
