@@ -5,7 +5,8 @@ columns of documents.  `run` writes each stage's result as Parquet in the shared
 executor repeats a stage's task and never an earlier stage.
 
 Null texts count as empty; empty and repeated rows and extra columns pass through every stage that doesn't drop the
-document; an empty table gives an empty table.
+document; an empty table gives an empty table.  Decisions about near duplicates and benchmark items name documents by
+doc_id: they hold for all rows of that id, and rows without an id can't be named and stay.
 """
 
 from __future__ import annotations

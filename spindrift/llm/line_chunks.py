@@ -16,8 +16,9 @@ Chunks, links and lines are first met by a 128-bit hash (small rows: hash, docum
 cut out, and only where all bytes under one hash are equal (the least equals the greatest) anything is removed.  Sums
 and minima are pre-aggregated, so one chunk may hold a third of all rows.
 
-Null and empty texts have no chunks and stay empty.  A text whose chunks all go becomes empty.  Repeated rows of one
-doc_id are one document: they get the same result.  Extra columns pass through `remove_repeated_chunks` untouched.
+Null and empty texts have no chunks and stay as they are.  A text whose chunks all go becomes empty.  Rows of one doc_id
+with one text are one document and get the same result; other texts of that id are documents of their own.  Rows without
+an id are returned as they are and make nothing repeated.  Extra columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spindrift.llm.common import large_text, map_slices, written
+from spindrift.llm.repeats import KEY, keys_of
 
 WINDOW, MASK_BITS, LEAST = 2, 1, 2
 #: Least words of a repeated run of lines, or of a repeated single line.
@@ -77,33 +79,31 @@ def units(lines: list[bytes], passages: bool) -> list[tuple[int, int, int]]:
 
 
 def unit_rows(part: pa.RecordBatch, passages: bool) -> pa.RecordBatch:
-    a, b, doc, at, n, kinds = [], [], [], [], [], []
-    for d, text in zip(part.column("doc_id").to_pylist(), large_text(part.column("text")).to_pylist(), strict=True):
+    a, b, doc, own, at, n, kinds = [], [], [], [], [], [], []
+    for d, t, text in zip(*(part.column(c).to_pylist() for c in KEY), large_text(part.column("text")).to_pylist(), strict=True):
         lines = split(text)
         for kind, first, count in units(lines, passages):
             h = xxhash.xxh3_128_intdigest(b"\n".join(lines[first : first + count]), kind)
             a.append((h >> 64) - (1 << 63))
             b.append((h & MASK64) - (1 << 63))
             doc.append(d)
+            own.append(t)
             at.append(first)
             n.append(count)
             kinds.append(kind)
-    cols = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(kinds, pa.int32())]
-    return pa.RecordBatch.from_arrays(cols, names=["c1", "c2", "doc_id", "first", "n", "kind"])
+    cols = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(doc, pa.int64()), pa.array(own, pa.int64()), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(kinds, pa.int32())]
+    return pa.RecordBatch.from_arrays(cols, names=["c1", "c2", *KEY, "first", "n", "kind"])
 
 
 def cut_rows(part: pa.RecordBatch) -> pa.RecordBatch:
-    a, b, doc, at, body = [], [], [], [], []
-    for d, text, places in zip(part.column("doc_id").to_pylist(), large_text(part.column("text")).to_pylist(), part.column("places").to_pylist(), strict=True):
+    a, b, body = [], [], []
+    for text, places in zip(large_text(part.column("text")).to_pylist(), part.column("places").to_pylist(), strict=True):
         lines = split(text)
         for p in places:
             a.append(p["c1"])
             b.append(p["c2"])
-            doc.append(d)
-            at.append(p["first"])
             body.append(b"\n".join(lines[p["first"] : p["first"] + p["n"]]))
-    cols = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(body, pa.binary())]
-    return pa.RecordBatch.from_arrays(cols, names=["c1", "c2", "doc_id", "first", "body"])
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(body, pa.binary())], names=["c1", "c2", "body"])
 
 
 def sent_or_shuffled(small: DataFrame, row_bytes: int) -> DataFrame:
@@ -111,17 +111,29 @@ def sent_or_shuffled(small: DataFrame, row_bytes: int) -> DataFrame:
     return F.broadcast(small) if small.count() * row_bytes <= BROADCAST_BYTES else small
 
 
+def sent_lists(rows: DataFrame, column: str, item_bytes: int) -> DataFrame:
+    """rows (KEY and an array) with a broadcast hint if all its items together are bounded: a row holds a document's."""
+    n, items = rows.agg(F.count(F.lit(1)), F.sum(F.size(column))).first()
+    return F.broadcast(rows) if n * 80 + (items or 0) * item_bytes <= BROADCAST_BYTES else rows
+
+
 def removals(docs: DataFrame, passages: bool = False) -> DataFrame:
-    """doc_id and gone (array of first line, lines, kind): what stands at an earlier place too."""
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(map_slices(texts, lambda part: unit_rows(part, passages), "c1 long, c2 long, doc_id long, first int, n int, kind int"), "chunks")
+    """KEY and gone (array of first line, lines, kind): what stands at an earlier place too.
+
+    Counts and the place to keep are combined before their shuffle: a chunk is a row a task there.  Places then meet
+    them in joins whose heavy keys adaptive execution splits, as the other side has one row a key.
+    """
+    texts = docs.where(F.col("doc_id").isNotNull()).select(*keys_of(), "text")
+    rows = written(map_slices(texts, lambda part: unit_rows(part, passages), "c1 long, c2 long, doc_id long, text_hash long, first int, n int, kind int"), "chunks")
+    place = F.struct(*KEY, "first")
     twice = rows.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("c1", "c2")
     again = written(rows.join(twice, ["c1", "c2"], "left_semi"), "again")
-    places = written(again.groupBy("doc_id").agg(F.collect_set(F.struct("c1", "c2", "first", "n")).alias("places")), "places")
-    cuts = map_slices(texts.join(F.broadcast(places) if again.count() * 40 <= BROADCAST_BYTES else places, "doc_id").select("doc_id", "text", "places"), cut_rows, "c1 long, c2 long, doc_id long, first int, body binary")
-    same = cuts.groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "first")).alias("keep"), F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo = hi").select("c1", "c2", "keep")
-    gone = again.join(written(same, "same"), ["c1", "c2"]).where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("first") != F.col("keep.first")))
-    return gone.groupBy("doc_id").agg(F.collect_set(F.struct("first", "n", "kind")).alias("gone"))
+    places = written(again.groupBy(*KEY).agg(F.collect_set(F.struct("c1", "c2", "first", "n")).alias("places")), "places")
+    cuts = map_slices(texts.join(sent_lists(places, "places", 32), KEY).select("text", "places"), cut_rows, "c1 long, c2 long, body binary")
+    same = cuts.groupBy("c1", "c2").agg(F.min("body").alias("lo"), F.max("body").alias("hi")).where("lo = hi").select("c1", "c2")
+    keep = again.groupBy("c1", "c2").agg(F.min(place).alias("keep")).join(same, ["c1", "c2"], "left_semi")
+    gone = again.join(written(keep, "keep"), ["c1", "c2"]).where(place != F.col("keep"))
+    return gone.groupBy(*KEY).agg(F.collect_set(F.struct("first", "n", "kind")).alias("gone"))
 
 
 def dropped(lines: list[str], found: list) -> np.ndarray:
@@ -152,25 +164,25 @@ def remove_repeated_passages(docs: DataFrame) -> DataFrame:
 
 def remove_repeated_chunks(docs: DataFrame, passages: bool = False) -> DataFrame:
     """docs with text less its repeated chunks, and n_lines, n_removed_lines, n_removed_chunks (long; stretches of lines)."""
-    found = removals(docs, passages).withColumnRenamed("doc_id", "__id").withColumnRenamed("gone", "__gone")
-    gone = written(found, "gone")
-    n_gone = gone.agg(F.sum(F.size("__gone"))).first()[0] or 0
+    gone = sent_lists(written(removals(docs, passages), "gone"), "gone", 24)
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed_lines", "n_removed_chunks")]
-    both = docs.select(*kept).join(F.broadcast(gone) if n_gone * 24 <= BROADCAST_BYTES else gone, F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
-    rest = [f for f in both.schema if f.name not in ("text", "__gone")]
+    # the caller's columns travel in one struct, so that no name of theirs meets one of ours
+    rest = [f for f in docs.schema if f.name in kept and f.name != "text"]
+    rows = docs.select(F.struct(*(F.col(f"`{f.name}`") for f in rest)).alias("row"), *keys_of(), "text")
+    both = rows.join(gone, KEY, "left").select("row", "text", "gone")
 
     def apply(part: pa.RecordBatch) -> pa.RecordBatch:
         texts, n_lines, n_gone, n_chunks = [], [], [], []
-        for text, found in zip(part.column("text").to_pylist(), part.column("__gone").to_pylist(), strict=True):
+        for text, found in zip(part.column("text").to_pylist(), part.column("gone").to_pylist(), strict=True):
             lines = text.split("\n") if text else []
             drop = dropped(lines, found or [])
             n_lines.append(len(lines))
             n_gone.append(int(drop.sum()))
             n_chunks.append(int(drop[:1].sum() + (drop[1:] & ~drop[:-1]).sum()))
             texts.append(text if not n_gone[-1] else "\n".join(x for x, d in zip(lines, drop, strict=True) if not d))
-        names = [f.name for f in rest]
-        cols = [part.column(c) for c in names] + [pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in (n_lines, n_gone, n_chunks))]
-        return pa.RecordBatch.from_arrays(cols, names=[*names, "text", "n_lines", "n_removed_lines", "n_removed_chunks"])
+        cols = [part.column("row"), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in (n_lines, n_gone, n_chunks))]
+        return pa.RecordBatch.from_arrays(cols, names=["row", "text", "n_lines", "n_removed_lines", "n_removed_chunks"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) + ", text string, n_lines long, n_removed_lines long, n_removed_chunks long"
-    return map_slices(both.select(*(f.name for f in rest), "text", "__gone"), apply, schema).select(*kept, "n_lines", "n_removed_lines", "n_removed_chunks")
+    schema = f"row {both.schema['row'].dataType.simpleString()}, text string, n_lines long, n_removed_lines long, n_removed_chunks long"
+    out = map_slices(both, apply, schema)
+    return out.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in kept), "n_lines", "n_removed_lines", "n_removed_chunks")

@@ -1,7 +1,7 @@
 """Near-duplicate classes by b-bit MinHash.
 
 1. One pass over the texts makes, for each document, the set of distinct 5-word shingles (64-bit hashes), a digest of
-   the whole set, BANDS keys of ROWS minima each, and the low BITS bits of PERMS minima packed into longs.  Only these
+   the whole set, band keys of a few minima each, and the low BITS bits of PERMS minima packed into longs.  Only these
    few hundred bytes are written to the shared folder.
 2. Documents with equal sets are one class with its smallest id as representative (a pre-aggregated group-by), so
    thousands of copies cost one row from here on.
@@ -19,7 +19,8 @@
    whose sizes and sharp bits allow the threshold, is confirmed on the full sets, and components are merged.  Copies
    and near copies, already one component, make no pairs.
 
-With BANDS = 25 and ROWS = 5 a pair of similarity 0.85 shares a key with probability 1 - 4e-7.  Null, blank and empty
+`banding` takes as many minima a key as keep the probability that a pair at the threshold shares no key under MISS: 25
+keys of 5 minima at 85 percent (4e-7), 32 of 4 at 80 (5e-8).  Null, blank and empty
 texts have an empty set and are linked with nothing; a text of fewer than 5 words is one shingle.  Repeated rows
 give repeated, equal results.  A row without doc_id is kept unless another row's set equals its own.  Extra columns
 are ignored.
@@ -34,7 +35,9 @@ from pyspark.sql import functions as F
 
 from spindrift.llm.common import hashes_of, map_slices, mix64, shared_dir, words_of, written
 
-WORDS, BANDS, ROWS, PERMS, BITS = 5, 25, 5, 128, 4
+WORDS, PERMS, BITS = 5, 128, 4
+#: Most probability that a pair at the threshold shares no band key.
+MISS = 1e-6
 #: Standard deviations of the estimate below the threshold at which a candidate is dropped unconfirmed: of a star (the
 #: full search finds it again) and of the full search, whose sketches have SHARP bits.
 STAR_SLACK, SLACK, SHARP = 1.5, 5, 1024
@@ -50,7 +53,7 @@ def shingles(column: pa.Array, n: int = WORDS) -> list[np.ndarray]:
         return [own] * (len(offsets) - 1)
     acc = np.zeros(len(own), np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(n):
+        for j in range(n if len(own) >= n else 0):
             acc[: len(own) - j] = mix64(acc[: len(own) - j] * np.uint64(3) + own[j:] + np.uint64(j))
     out = []
     for a, b in zip(offsets[:-1], offsets[1:], strict=True):
@@ -88,7 +91,14 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def sketch(part: pa.RecordBatch) -> pa.RecordBatch:
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, minima of each) for a threshold."""
+    fit = [r for r in range(1, 17) if (1 - (percent / 100) ** r) ** (PERMS // r) <= MISS]
+    rows = max(fit, default=1)
+    return PERMS // rows, rows
+
+
+def sketch(part: pa.RecordBatch, bands: int, rows: int) -> pa.RecordBatch:
     sets = shingles(part.column("text"))
     full = [i for i, s in enumerate(sets) if len(s)]
     size = np.array([len(s) for s in sets], np.int64)
@@ -101,10 +111,10 @@ def sketch(part: pa.RecordBatch) -> pa.RecordBatch:
             digest[full, 0] = [int(np.add.reduce(s).view(np.int64)) for s in kept]
             digest[full, 1] = [int(np.add.reduce(mix64(s ^ np.uint64(0x5851F42D4C957F2D))).view(np.int64)) for s in kept]
             m = minima(kept)
-            band = np.zeros((len(full), BANDS), np.uint64)
-            for r in range(ROWS):
-                band = mix64(band * np.uint64(7) + m[:, r : BANDS * ROWS : ROWS][:, :BANDS].astype(np.uint64))
-            band = mix64(band + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+            band = np.zeros((len(full), bands), np.uint64)
+            for r in range(rows):
+                band = mix64(band * np.uint64(7) + m[:, r : bands * rows : rows][:, :bands].astype(np.uint64))
+            band = mix64(band + np.arange(bands, dtype=np.uint64)).view(np.int64)
         nibble = (m & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(full), -1, 64 // BITS)
         packed = (nibble << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64).view(np.int64)
         for j, i in enumerate(full):
@@ -193,7 +203,8 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest id with an equal set), component_id, kept, for each row."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = written(map_slices(texts, sketch, "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, bits array<long>"), "sketches")
+    bands, band_rows = banding(percent)
+    base = written(map_slices(texts, lambda part: sketch(part, bands, band_rows), "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>, bits array<long>"), "sketches")
     full = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("n_shingles", "d1", "d2").agg(F.min(F.struct("doc_id", "keys", "bits")).alias("m")).select("n_shingles", "d1", "d2", F.col("m.doc_id").alias("rep"), F.col("m.keys").alias("keys"), F.col("m.bits").alias("bits"))
     classes = written(classes, "classes")

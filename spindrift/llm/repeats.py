@@ -20,7 +20,8 @@ byte strings in them), so windows with different minimisers never need to meet.
 
 All of that is exact: hashes only say what must be compared, except that equal pieces are joined to their places by two
 64-bit hashes.  Null texts count as empty; texts under LENGTH bytes have no windows.  Repeated rows are copies of one
-another.  doc_id null rows are dropped (nothing can be said about them).
+another.  Every row is a document, whatever its id: rows without an id and other texts of one id match as all others do
+(rows are known by their id and a hash of their text).
 """
 
 from __future__ import annotations
@@ -77,12 +78,21 @@ def comes_twice(grams: np.ndarray, at: np.ndarray, n: np.ndarray, h: np.ndarray,
     return out
 
 
+#: What a document is known by: rows of one id with other texts, and rows without an id, are documents of their own.
+KEY = ["doc_id", "text_hash"]
+
+
+def keys_of(doc_id: str = "doc_id", text: str = "text") -> list:
+    """KEY of each row: its id (0 for null) and a hash of its text and of whether it has an id."""
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(0).cast("long")).alias(KEY[0]), F.xxhash64(F.col(text), F.col(doc_id).isNull()).alias(KEY[1])]
+
+
 def windows(part: pa.RecordBatch, length: int, gram: int) -> pa.RecordBatch:
     raw, offsets = raw_of(part.column("text"))
-    docs = part.column("doc_id").to_numpy(zero_copy_only=False)
-    names = ["h", "doc_id", "start", "n", "own"]
+    docs, texts = (part.column(c).to_numpy(zero_copy_only=False) for c in KEY)
+    names = ["h", *KEY, "start", "n", "own"]
     if len(raw) < length:
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.bool_())], names=names)
+        return pa.RecordBatch.from_arrays([*(pa.array([], pa.int64()) for _ in range(3)), pa.array([], pa.int32()), pa.array([], pa.int32()), pa.array([], pa.bool_())], names=names)
     grams, m = minimisers(raw, length, gram)
     last = np.maximum(offsets[1:] - length + 1, offsets[:-1])  # windows of text i start in [offsets[i], last[i])
     begins = np.zeros(len(raw) + 1, bool)
@@ -106,7 +116,7 @@ def windows(part: pa.RecordBatch, length: int, gram: int) -> pa.RecordBatch:
         n = np.minimum(MOST, stop - at)
     else:
         h = m[at]
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(docs[own].astype(np.int64)), pa.array((at - offsets[own]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(comes_twice(grams, at, n, h, length - gram))], names=names)
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(docs[own].astype(np.int64)), pa.array(texts[own].astype(np.int64)), pa.array((at - offsets[own]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(comes_twice(grams, at, n, h, length - gram))], names=names)
 
 
 class Columns:
@@ -390,18 +400,18 @@ def runs_of(flags: np.ndarray) -> list[int]:
 
 
 def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id and spans (array of from, to byte places, ascending, maximal) of documents that lose bytes."""
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(map_slices(texts, lambda part: windows(part, length, gram), "h long, doc_id long, start int, n int, own boolean"), "windows")
+    """KEY and spans (array of from, to byte places, ascending, maximal) of documents that lose bytes."""
+    texts = docs.select(*keys_of(), "text")
+    rows = written(map_slices(texts, lambda part: windows(part, length, gram), "h long, doc_id long, text_hash long, start int, n int, own boolean"), "windows")
     weight = F.when(F.col("own"), 2).otherwise(1)
     twice = rows.groupBy("h").agg(F.sum(weight).alias("w")).where("w > 1").select("h")
-    places = rows.join(twice, "h", "left_semi").groupBy("doc_id").agg(F.collect_set(F.struct("start", "n", "h")).alias("places"))
+    places = rows.join(twice, "h", "left_semi").groupBy(*KEY).agg(F.collect_set(F.struct("start", "n", "h")).alias("places"))
 
     def cut(part: pa.RecordBatch) -> pa.RecordBatch:
         raw, offsets = raw_of(part.column("text"))
         data = raw.tobytes()
-        h, doc, start, piece, ph = [], [], [], [], []
-        for i, (d, found) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("places").to_pylist(), strict=True)):
+        h, doc, own, start, piece, ph = [], [], [], [], [], []
+        for i, (d, t, found) in enumerate(zip(*(part.column(c).to_pylist() for c in (*KEY, "places")), strict=True)):
             for p in found:
                 a = int(offsets[i]) + p["start"]
                 b = min(a + p["n"] + length - 1, int(offsets[i + 1]))
@@ -410,12 +420,13 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                 x = data[a:b]
                 h.append(p["h"])
                 doc.append(d)
+                own.append(t)
                 start.append(p["start"])
                 piece.append(x)
                 ph.append(xxhash.xxh3_64_intdigest(x) - (1 << 63))
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ph, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(piece, pa.binary())], names=["h", "ph", "doc_id", "start", "piece"])
+        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(ph, pa.int64()), pa.array(doc, pa.int64()), pa.array(own, pa.int64()), pa.array(start, pa.int32()), pa.array(piece, pa.binary())], names=["h", "ph", *KEY, "start", "piece"])
 
-    cuts = written(map_slices(texts.join(places, "doc_id").select("doc_id", "text", "places"), cut, "h long, ph long, doc_id long, start int, piece binary", most=1 << 20), "pieces")
+    cuts = written(map_slices(texts.join(places, KEY).select(*KEY, "text", "places"), cut, "h long, ph long, doc_id long, text_hash long, start int, piece binary", most=1 << 20), "pieces")
     distinct = cuts.groupBy("h", "ph", "piece").agg(F.least(F.count(F.lit(1)), F.lit(2)).cast("int").alias("copies"))
 
     def solve(batches):
@@ -441,9 +452,9 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
     found = distinct.repartition("h").sortWithinPartitions("h").mapInArrow(solve, "h long, ph long, runs array<int>")
     found = written(found, "repeats")
-    hits = cuts.select("h", "ph", "doc_id", "start").join(found, ["h", "ph"])
-    hits = hits.select("doc_id", F.expr(f"transform(filter(sequence(0, size(runs) - 1), i -> i % 2 = 0), i -> struct(start + runs[i] AS a, start + runs[i + 1] + {length - 1} AS b))").alias("s"))
-    merged = hits.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("s"))
+    hits = cuts.select("h", "ph", *KEY, "start").join(found, ["h", "ph"])
+    hits = hits.select(*KEY, F.expr(f"transform(filter(sequence(0, size(runs) - 1), i -> i % 2 = 0), i -> struct(start + runs[i] AS a, start + runs[i + 1] + {length - 1} AS b))").alias("s"))
+    merged = hits.groupBy(*KEY).agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("s"))
 
     def join_spans(batches):
         for batch in batches:
@@ -456,17 +467,17 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                     else:
                         ends += [x["a"], x["b"]]
                 out.append(ends)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "spans"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.array(out, pa.list_(pa.int32()))], names=[*KEY, "spans"])
 
-    return merged.mapInArrow(join_spans, "doc_id long, spans array<int>")
+    return merged.mapInArrow(join_spans, "doc_id long, text_hash long, spans array<int>")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array<int>) and kept (binary) of each row."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), *keys_of(), "text")
     found = written(spans(docs, length, gram), "spans")
     size = found.agg(F.sum(F.size("spans") * 4 + F.lit(40))).first()[0] or 0
-    both = texts.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "doc_id", "left")
+    both = texts.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, KEY, "left")
 
     def apply(part: pa.RecordBatch) -> pa.RecordBatch:
         raw, offsets = raw_of(part.column("text"))
@@ -482,6 +493,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
             kept = b"".join(kept)
             out.append((len(own), len(own) - len(kept), len(s) // 2, hashlib.sha256(kept).hexdigest(), s, kept))
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.binary()]
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
+        return pa.RecordBatch.from_arrays([part.column("id"), *(pa.array([r[k] for r in out], t) for k, t in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
 
-    return map_slices(both.select("doc_id", "text", "spans"), apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<int>, kept binary")
+    return map_slices(both.select("id", "text", "spans"), apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<int>, kept binary")

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from spindrift.llm import bpe, byte_cnn, decontaminate, html_tree, line_chunks, near_dedup, quality_rules, queries, repeats, token_files, toxicity
+from spindrift.llm import bpe, byte_cnn, common, decontaminate, html_tree, line_chunks, near_dedup, quality_rules, queries, repeats, token_files, toxicity
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -340,7 +340,7 @@ def test_transforms_agree():
         letters = rng.choice(["ab", "abc", "abcdefgh"])
         texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(5)]
         texts += [texts[0], texts[1] * 2]
-        part = pa.RecordBatch.from_arrays([pa.array(range(7), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+        part = pa.RecordBatch.from_arrays([pa.array(range(7), pa.int64()), pa.array(range(7), pa.int64()), pa.array(texts)], names=[*repeats.KEY, "text"])
         places = collections.defaultdict(list)
         for x in repeats.windows(part, length, gram).to_pylist():
             places[x["h"], texts[x["doc_id"]].encode()[x["start"] : x["start"] + x["n"] + length - 1]].append((x["doc_id"], x["start"]))
@@ -402,7 +402,8 @@ def components(texts, percent):
     return sets, {i: find(i) for i in ids}
 
 
-def test_near_duplicates_brute_force(spark, texts):
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_duplicates_brute_force(spark, texts, percent):
     rng = random.Random(8)
     base = [f"w{rng.randint(0, 400)}" for _ in range(150)]
     edits = []
@@ -413,8 +414,8 @@ def test_near_duplicates_brute_force(spark, texts):
         edits.append(" ".join(w))
     cases = [*list(texts.values())[:100], *edits, *edits[:5], *ODD, "One two", "one TWO", "three"]
     df = frame(spark, cases)
-    sets, want = components(dict(enumerate(cases)), 85)
-    got = by_id(near_dedup.near_duplicates(df))
+    sets, want = components(dict(enumerate(cases)), percent)
+    got = by_id(near_dedup.near_duplicates(df, percent))
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), want[i], want[i] == i) for i in want}
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
@@ -439,3 +440,40 @@ def test_null_ids(spark):
     assert line_chunks.remove_repeated_chunks(docs).count() == 5
     assert repeats.remove_repeats(docs).count() == 5
     assert quality_rules.ledger(docs).count() == 5
+
+
+def test_every_row_is_a_document(spark):
+    """Repeated strings are found in rows without an id and in other texts of one id, and cut at their own places."""
+    rng = random.Random(12)
+    fresh = lambda n: "".join(rng.choice("abcdefghij klm") for _ in range(n))
+    same, alone = fresh(300), fresh(600)
+    docs = spark.createDataFrame([(None, same), (1, same), (3, fresh(100) + same), (3, alone), (4, fresh(250))], "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.n_bytes, r.n_removed) for r in repeats.remove_repeats(docs).collect())
+    assert got == {(None, 300, 300): 1, (1, 300, 300): 1, (3, 400, 300): 1, (3, 600, 0): 1, (4, 250, 0): 1}
+    line = "twenty words or more stand on this one line so that it is long enough to be a passage by itself in here"
+    texts = [(1, "first\n" + line), (2, "a\nb\nc\n" + line), (2, "d\ne\nf\ng\nh"), (None, line)]
+    clash = spark.createDataFrame(texts, "doc_id long, text string").selectExpr("doc_id", "text", *(f"'x' AS {c}" for c in ("__id", "__gone", "gone", "row", "text_hash", "c1", "n", "places")))
+    out = line_chunks.remove_repeated_passages(clash)
+    assert out.columns[:-3] == clash.columns
+    assert sorted((str(r.doc_id), r.text, r.places) for r in out.collect()) == sorted((str(d), t, "x") for d, t in [(1, texts[0][1]), (2, "a\nb\nc"), (2, texts[2][1]), (None, line)])
+
+
+def test_texts_over_a_slice(spark):
+    """One text of more than 4 MB through the operators that hold whole texts."""
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(5000)]
+    long = "\n".join(" ".join(rng.choice(words) for _ in range(12)) for _ in range(56000))
+    assert len(long) > 4 << 20
+    docs = spark.createDataFrame([(1, long), (2, long), (3, "short text")], "doc_id long, text string")
+    cut = by_id(repeats.remove_repeats(docs))
+    assert cut[1].n_removed == cut[2].n_removed == len(long) and cut[3].n_removed == 0
+    assert {i: r.kept for i, r in by_id(near_dedup.near_duplicates(docs)).items()} == {1: True, 2: False, 3: True}
+    kept = by_id(line_chunks.remove_repeated_passages(docs))
+    assert kept[1].text == long and kept[2].text == ""
+    labels = spark.createDataFrame([(1, 1, 0), (3, 0, 1)], "doc_id long, quality int, toxic int")
+    for f in (byte_cnn.score, toxicity.score):
+        assert all(0 <= r.score <= 1 for r in f(docs, labels).collect())
+    path = common.scratch(spark, "long")
+    token_files.write(docs, queries.vocabulary(), path)
+    got = by_id(token_files.read(spark, path))
+    assert got[1].ids_crc32 == got[2].ids_crc32 and got[2].start == got[1].n_tokens and got[1].n_tokens > 1_000_000
