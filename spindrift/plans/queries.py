@@ -17,7 +17,7 @@ from spindrift.operators import resolution as S
 from spindrift.plans import funnel
 from spindrift.plans.registry import query
 from spindrift.plans.views import SQL_ROLES, Roles, sql_first_last, sql_norm, sql_word_set, table
-from spindrift.session import EU
+from spindrift.session import EU, shared_dir
 
 N, FL, WS = sql_norm, sql_first_last, sql_word_set
 WITH = f"WITH {SQL_ROLES}"
@@ -241,8 +241,7 @@ def index_join(spark, sf_dir):
     import uuid
 
     _, rk, ak, alk = keys(spark, sf_dir)
-    home = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/spindrift-shared"
-    path = f"{home.rstrip('/')}/name-index-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/name-index-{uuid.uuid4().hex}"
     L.build_index(ak, alk, path)
     index = spark.read.parquet(path)
     return L.index_match(rk, index, "exact").unionByName(L.index_match(rk, index, "alias"))

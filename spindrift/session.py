@@ -49,14 +49,22 @@ def session(app: str = "spindrift", master: str | None = None, partitions: int |
     return b.getOrCreate()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share.  A local default serves local mode only."""
+    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not told and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    told = (told or "file:///tmp/spindrift-shared").rstrip("/")
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(told)
+    return told
+
+
 def layer(df):
     """df cut from its lineage by a reliable checkpoint in the cluster's shared folder, computed once.
 
     Layers of the funnel are read many times; without the cut every later layer would plan and run all earlier ones
-    again.  The folder is spark.checkpoint.dir; a default of our own is set only where there is none.
+    again.
     """
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(told or "file:///tmp/spindrift-shared")
+    shared_dir(df.sparkSession)
     return df.checkpoint()
