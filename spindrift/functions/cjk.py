@@ -3,23 +3,27 @@
 from __future__ import annotations
 
 import re
+import uuid
 from itertools import islice, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Surnames of two characters, and surnames whose reading differs from the character's usual one.
-COMPOUND = set(
-    """欧阳 太史 端木 上官 司马 东方 独孤 南宫 万俟 闻人 夏侯 诸葛 尉迟 公羊 赫连 澹台 皇甫 宗政 濮阳 公冶
-    太叔 申屠 公孙 慕容 仲孙 钟离 长孙 宇文 司徒 鲜于 司空 闾丘 子车 亓官 司寇 巫马 公西 颛孙 壤驷 公良
-    漆雕 乐正 宰父 谷梁 拓跋 夹谷 轩辕 令狐 段干 百里 呼延 东郭 南门 羊舌 微生 公户 公玉 公仪 梁丘 公仲
-    公上 公门 公山 公坚 左丘 公伯 西门 第五 东门 南荣""".split()
-)
+COMPOUND = {
+    "欧阳", "太史", "端木", "上官", "司马", "东方", "独孤", "南宫", "万俟", "闻人", "夏侯", "诸葛",
+    "尉迟", "公羊", "赫连", "澹台", "皇甫", "宗政", "濮阳", "公冶", "太叔", "申屠", "公孙", "慕容",
+    "仲孙", "钟离", "长孙", "宇文", "司徒", "鲜于", "司空", "闾丘", "子车", "亓官", "司寇", "巫马",
+    "公西", "颛孙", "壤驷", "公良", "漆雕", "乐正", "宰父", "谷梁", "拓跋", "夹谷", "轩辕", "令狐",
+    "段干", "百里", "呼延", "东郭", "南门", "羊舌", "微生", "公户", "公玉", "公仪", "梁丘", "公仲",
+    "公上", "公门", "公山", "公坚", "左丘", "公伯", "西门", "第五", "东门", "南荣",
+}
 SURNAME_READINGS = {
-    "单": "shan", "曾": "zeng", "仇": "qiu", "区": "ou", "查": "zha", "解": "xie", "覃": "qin tan", "华": "hua", "任": "ren",
-    "燕": "yan", "乐": "yue le", "种": "chong", "折": "she", "员": "yun", "冼": "xian", "缪": "miao miu", "隗": "kui wei",
-    "都": "du", "阚": "kan", "过": "guo", "繁": "pi fan", "召": "shao", "谌": "shen chen", "尉": "wei", "朴": "piao",
-    "翟": "zhai di", "郗": "xi chi", "秘": "bi",
+    "单": ["shan"], "曾": ["zeng"], "仇": ["qiu"], "区": ["ou"], "查": ["zha"], "解": ["xie"],
+    "覃": ["qin", "tan"], "华": ["hua"], "任": ["ren"], "燕": ["yan"], "乐": ["yue", "le"], "种": ["chong"],
+    "折": ["she"], "员": ["yun"], "冼": ["xian"], "缪": ["miao", "miu"], "隗": ["kui", "wei"], "都": ["du"],
+    "阚": ["kan"], "过": ["guo"], "繁": ["pi", "fan"], "召": ["shao"], "谌": ["shen", "chen"], "尉": ["wei"],
+    "朴": ["piao"], "翟": ["zhai", "di"], "郗": ["xi", "chi"], "秘": ["bi"],
 }
 DOTS = re.compile("[·•･]")
 
@@ -28,61 +32,59 @@ def han(name: str | None) -> str:
     return "".join(c for c in name or "" if "一" <= c <= "鿿")
 
 
-def spellings(syllable: str) -> list[str]:
-    """A syllable's Latin spellings: v stands for a rounded vowel that is written u, v or yu."""
-    s = re.sub("[^a-z]", "", syllable.lower())
-    return [s.replace("v", x) for x in ("u", "v", "yu")] if "v" in s else [s] if s else []
+class Readings:
+    """Latin spellings of characters by a table (character -> syllables, the usual one first)."""
+
+    def __init__(self, table: dict[str, list[str]], all_readings: bool = False):
+        self.table, self.all = table, all_readings
 
+    @staticmethod
+    def spelt(syllables: list[str]) -> list[str]:
+        """v stands for a rounded vowel that is written u, v or yu; tones and other signs go."""
+        plain = filter(None, (re.sub("[^a-z]", "", s.lower()) for s in syllables))
+        return [s.replace("v", vowel) for s in plain for vowel in (("u", "v", "yu") if "v" in s else ("",))]
 
-def split_name(name: str) -> tuple[str, str]:
-    h = han(name)
-    cut = 2 if len(h) >= 3 and h[:2] in COMPOUND else 1
-    return h[:cut], h[cut:]
+    def usual(self, char: str) -> list[str]:
+        return self.spelt(self.table.get(char, [])[:1])
 
+    def surname(self, name: str) -> list[str]:
+        """One character by the fixed table and its usual reading; two joined and spaced."""
+        if len(name) == 1:
+            return list(dict.fromkeys(self.spelt(SURNAME_READINGS.get(name, [])) + self.usual(name)))
+        found = (c for c in product(*map(self.usual, name)) if c)
+        return list(dict.fromkeys(sep.join(c) for c in found for sep in ("", " ")))
 
-def usual(char: str, readings: dict[str, list[str]]) -> list[str]:
-    found = readings.get(char) or []
-    return spellings(found[0]) if found else []
+    def given(self, name: str, cap: int) -> list[tuple[str, ...]]:
+        """Syllable lists, cap of them at most; characters without a reading are left out."""
+        each = [sorted(set(self.spelt(self.table.get(c, [])[: None if self.all else 1]))) for c in name]
+        each = [x for x in each if x]
+        return list(islice(product(*each), cap)) if each else []
 
 
-def surname_forms(surname: str, readings: dict) -> list[str]:
-    if len(surname) > 1:
-        combos = list(product(*(usual(c, readings) for c in surname)))
-        return list(dict.fromkeys(x for c in combos for x in ("".join(c), " ".join(c)) if x))
-    listed = [s for r in SURNAME_READINGS.get(surname, "").split() for s in spellings(r)]
-    return list(dict.fromkeys(listed + usual(surname, readings)))
+def parted(name: str) -> tuple[str, str]:
+    """(surname, given name): two characters of three or more are a surname if they are a compound one."""
+    own = han(name)
+    cut = 1 + (len(own) > 2 and own[:2] in COMPOUND)
+    return own[:cut], own[cut:]
 
 
-def given_forms(given: str, readings: dict, all_readings: bool = False, cap: int = 8) -> list[tuple[str, ...]]:
-    """Syllable lists of the given name, cap of them at most; characters without a reading are left out."""
-    per = []
-    for c in given:
-        own = [s for r in (readings.get(c) or [])[: None if all_readings else 1] for s in spellings(r)]
-        if own:
-            per.append(sorted(set(own)))
-    return list(islice(product(*per), cap)) if per else []
+def shapes(syllables: tuple[str, ...], initials: bool) -> set[str]:
+    """A given name's joined and spaced forms, and its initials: the first, joined and spaced."""
+    letters = [s[0] for s in syllables]
+    return {sep.join(x) for x in [syllables, *[letters] * initials] for sep in ("", " ")} | set(letters[:1] * initials)
 
 
-def romanize(name: str | None, readings: dict, all_readings: bool = False, cap: int = 8, initials: bool = True) -> list[str]:
+def romanize(name: str | None, readings: dict[str, list[str]], all_readings: bool = False, cap: int = 8, initials: bool = True) -> list[str]:
     """Distinct spellings, sorted: both orders, given name joined, spaced and as initials; dotted names by segment."""
-    raw = name or ""
-    if DOTS.search(raw):
-        segments = ["".join((usual(c, readings) or [""])[0] for c in han(s)) for s in DOTS.split(raw)]
-        segments = [s for s in segments if s]
-        return sorted({" ".join(segments), " ".join(reversed(segments))}) if segments else []
-    surname, given = split_name(raw)
-    forms = surname_forms(surname, readings) if surname else []
-    out: set[str] = set()
-    syllables = given_forms(given, readings, all_readings, cap)
-    if not syllables:
-        return sorted(forms)
-    for syl in syllables:
-        letters = [s[0] for s in syl]
-        shapes = {"".join(syl), " ".join(syl)}
-        if initials:
-            shapes |= {letters[0], "".join(letters), " ".join(letters)}
-        out |= {f"{a} {b}" for g in shapes for s in forms for a, b in ((g, s), (s, g))}
-    return sorted(out)
+    read = Readings(readings, all_readings)
+    segments = DOTS.split(name or "")
+    if len(segments) > 1:
+        spelt = [x for x in ("".join(next(iter(read.usual(c)), "") for c in han(s)) for s in segments) if x]
+        return sorted({" ".join(spelt), " ".join(spelt[::-1])} - {""})
+    surname, given = parted(name or "")
+    last = read.surname(surname) if surname else []
+    first = {g for syllables in read.given(given, cap) for g in shapes(syllables, initials)}
+    return sorted({f"{a} {b}" for pair in product(first, last) for a, b in (pair, pair[::-1])} if first else set(last))
 
 
 def han_form(x: Column) -> Column:
@@ -100,7 +102,7 @@ def variants(roster: DataFrame, readings: dict[str, list[str]], name: str = "nam
             if han(name):
                 yield han(name), "chinese"
 
-    spark = roster.sparkSession
-    spark.udtf.register("name_variants", Variants)
-    roster.select("rid", F.col(name).alias("name")).createOrReplaceTempView("variant_roster")
-    return spark.sql("SELECT r.rid, v.variant, v.kind FROM variant_roster r, LATERAL name_variants(r.name) v")
+    # the table function is registered under a name of its own, so that callers don't meet
+    spark, own = roster.sparkSession, f"name_variants_{uuid.uuid4().hex}"
+    spark.udtf.register(own, Variants)
+    return spark.sql(f"SELECT r.rid, v.variant, v.kind FROM {{roster}} r, LATERAL {own}(r.name) v", roster=roster.select("rid", F.col(name).alias("name")))

@@ -1,110 +1,111 @@
-"""Pairwise name comparison: the one place of the linkage that needs Python, over Arrow batches of blocked pairs."""
+"""Pairwise name comparison: the one place of the linkage that needs Python, over Arrow batches of blocked pairs.
+
+A name becomes a list of tokens once; a pair is then judged by RULES, each of which says yes, no or nothing (None), in
+order.  Equivalent given names come from the caller, as groups or as files of comma-separated rows; none are built in.
+"""
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
+from functools import lru_cache
+from itertools import takewhile
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Own seed of equivalent given names; callers add groups, for example from a file of comma-separated rows.
-SEED_GROUPS = [
-    ["lampros", "lambros"],
-    ["patricio", "patrick", "patrizio", "patrice"],
-    ["evi", "evanthia"],
-    ["joseph", "joost", "jozef", "joop"],
-    ["mikolaj", "mikolai", "nikolaj", "nicolai"],
-    ["dzmitry", "dmitry", "dmitri", "dzmitri"],
-    ["william", "bill", "will", "liam"],
-    ["robert", "bob", "rob", "bobby"],
-    ["elizabeth", "liz", "beth", "eliza"],
-    ["margaret", "maggie", "peggy", "meg"],
-]
-DASHES = re.compile("[-­‐-―−]")
-
-
-def nickname_table(groups: list[list[str]]) -> dict[str, frozenset[str]]:
+#: Characters that count as a hyphen.
+HYPHENS = "­‐‑‒–—―−"
+SEPARATED = str.maketrans(dict.fromkeys(HYPHENS + "-", " "))
+PEOPLE = re.compile(r"[;/]| and ")
+
+
+def nickname_groups(spark: SparkSession, path: str) -> list[list[str]]:
+    """The groups of a file with one comma-separated group a line; blank lines and lines that begin with # don't count."""
+    lines = spark.read.text(path).where("trim(value) <> '' AND NOT startswith(trim(value), '#')")
+    return [[name.strip() for name in r.value.split(",")] for r in lines.toLocalIterator()]
+
+
+def nickname_table(groups: Iterable[Iterable[str]]) -> dict[str, frozenset[str]]:
     """name -> the union of the groups that hold it."""
-    out: dict[str, set[str]] = {}
+    out: dict[str, frozenset[str]] = {}
     for group in groups:
-        names = [g.strip().lower() for g in group if g.strip()]
-        for n in names:
-            out.setdefault(n, set()).update(names)
-    return {k: frozenset(v) for k, v in out.items()}
+        names = frozenset(n for n in (g.strip().lower() for g in group) if n)
+        out |= {n: out.get(n, frozenset()) | names for n in names}
+    return out
 
 
-def parts(name: str) -> list[str]:
-    """The comparable tokens of a name; 'Last, First' is turned round.  Empty if nothing Latin is left."""
-    s = unicodedata.normalize("NFKD", DASHES.sub("-", str(name)))
-    s = "".join(c for c in s if not unicodedata.combining(c)).lower().replace("ß", "ss")
-    s = re.sub(r"[^a-z\-,.\s]", "", s.strip())
-    if "," in s:
-        last, first = s.split(",")[:2]
-        s = f"{first} {last}"
-    return [t for t in s.replace("-", " ").replace(".", ". ").split() if t != "."]
+@lru_cache(1 << 16)
+def tokens(name: str) -> tuple[str, ...]:
+    """The comparable tokens of a name: Latin letters without marks, initials with their dot.  What stands before the
+    first comma goes to the end, what stands after a second is dropped.  Empty if nothing Latin is left."""
+    marked = unicodedata.normalize("NFKD", name.translate(SEPARATED)).lower().replace("ß", "ss")
+    kept = "".join(c for c in marked if "a" <= c <= "z" or c in ",." or c.isspace() and c.isascii())
+    last, comma, first = kept.strip().partition(",")
+    turned_round = f"{first.split(',')[0]} {last}" if comma else kept
+    return tuple(re.findall(r"[a-z]+\.?", turned_round))
 
 
-def bare(token: str) -> str:
-    return token.rstrip(".")
+class Pair:
+    """Two token lists, aligned: as many equal tokens as the ends share, and what stands before them."""
 
+    def __init__(self, left: tuple[str, ...], right: tuple[str, ...], nick: dict, exact: bool):
+        self.left, self.right, self.nick, self.exact = left, right, nick, exact
 
-def is_initial(token: str) -> bool:
-    return len(bare(token)) == 1
+    def fits(self, a: str, b: str) -> bool:
+        """Whether two tokens at one place can be one name: an initial or beginning of the other, or a nickname.  Exact
+        comparison takes only initials."""
+        x, y = a.rstrip("."), b.rstrip(".")
+        initial = min(len(x), len(y)) == 1
+        begins = x[: len(y)] == y[: len(x)]
+        return a == b or (begins if initial else not self.exact and (begins or y in self.nick.get(x, ())))
 
+    def identical(self) -> bool | None:
+        return True if self.left == self.right else None
 
-def compatible(a: str, b: str, nick: dict, exact: bool) -> bool:
-    """Whether two tokens at the same place can be one name."""
-    if a == b:
-        return True
-    a, b = bare(a), bare(b)
-    short = len(a) == 1 or len(b) == 1
-    if exact and not short:
-        return False
-    return a.startswith(b) or b.startswith(a) or (not short and b in nick.get(a, ()))
+    def lengths(self) -> bool | None:
+        return False if self.exact and len(self.left) != len(self.right) else None
 
+    def contained(self) -> bool | None:
+        """One of several tokens within the other.  The right one counts in exact comparison too: a known quirk that
+        results depend on."""
+        a, b = " ".join(self.left), " ".join(self.right)
+        return True if " " in b and b in a or not self.exact and " " in a and a in b else None
 
-def same_person(left: list[str], right: list[str], nick: dict, exact: bool = False) -> bool:
-    """The rules in order: equal; equal lengths if exact; one within the other; ends, then fronts, then leftovers."""
-    a, b = " ".join(left), " ".join(right)
-    if a == b:
-        return True
-    if exact and len(left) != len(right):
-        return False
-    # the second containment holds in exact mode too: a known quirk that results depend on
-    if (not exact and len(left) > 1 and a in b) or (len(right) > 1 and b in a):
-        return True
-    tail = 0
-    while tail < min(len(left), len(right)) and left[-1 - tail] == right[-1 - tail]:
-        tail += 1
-    rest = left[: len(left) - tail], right[: len(right) - tail]
-    front = min(map(len, rest))
-    if not all(compatible(x, y, nick, exact) for x, y in zip(*rest, strict=False)):
-        return False
-    if front + tail >= max(2, min(len(left), len(right))):
-        return True
-    return all(is_initial(t) for r in rest for t in r[front:])
+    def aligned(self) -> bool:
+        """Every pair of places before the shared end fits, and places enough are matched or only initials are left."""
+        ends = sum(1 for _ in takewhile(lambda t: t[0] == t[1], zip(reversed(self.left), reversed(self.right), strict=False)))
+        heads = [t[: len(t) - ends] for t in (self.left, self.right)]
+        places = min(map(len, heads))
+        if not all(self.fits(x, y) for x, y in zip(*heads, strict=False)):
+            return False
+        enough = places + ends >= max(2, min(len(self.left), len(self.right)))
+        return enough or all(len(t.rstrip(".")) == 1 for head in heads for t in head[places:])
 
 
-def names_match(a: str | None, b: str | None, nick: dict, exact: bool = False) -> bool:
-    """Only the first person of a list counts; names that leave nothing to compare match anything."""
-    left, right = parts(re.split(r"[;/]| and ", str(a))[0]), parts(b)
-    return not left or not right or same_person(left, right, nick, exact)
+RULES = (Pair.identical, Pair.lengths, Pair.contained, Pair.aligned)
 
 
-def turned(name: str) -> str:
-    return " ".join(reversed(str(name).split()))
+def names_match(a: str | None, b: str | None, nick: dict, exact: bool = False) -> bool:
+    """Only the first person of a list counts; names that leave nothing to compare match anything."""
+    left, right = tokens(PEOPLE.split(str(a))[0]), tokens(str(b))
+    if not left or not right:
+        return True
+    pair = Pair(left, right, nick, exact)
+    return next(verdict for rule in RULES if (verdict := rule(pair)) is not None)
 
 
 def fuzzy_ok(a: str, b: str, nick: dict) -> bool:
     """As they are, or with either turned round."""
-    return any(names_match(x, y, nick) for x, y in ((a, b), (turned(a), b), (a, turned(b))))
+    turned = {x: " ".join(str(x).split()[::-1]) for x in (a, b)}
+    return names_match(a, b, nick) or names_match(turned[a], b, nick) or names_match(a, turned[b], nick)
 
 
-def match_udf(groups: list[list[str]] | None = None, mode: str = "match", exact: bool = False):
+def match_udf(groups: Iterable[Iterable[str]] = (), mode: str = "match", exact: bool = False):
     """A UDF (a, b) -> boolean over Arrow batches; mode is match or fuzzy (turned names too).  Null names compare as empty."""
-    nick = nickname_table([*SEED_GROUPS, *(groups or [])])
+    nick = nickname_table(groups)
 
     @F.arrow_udf("boolean")
     def f(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -123,10 +124,10 @@ def match_udf(groups: list[list[str]] | None = None, mode: str = "match", exact:
 def anchored(roster: Column, candidate: Column, nick: dict | None = None) -> Column:
     """Token arrays: every initial of the candidate is an initial of the roster name, and one full token of the candidate
     equals, starts, continues or is a nickname of a roster token; an empty candidate passes.  Stays in the JVM."""
-    nick = nickname_table(SEED_GROUPS) if nick is None else nick
-    table = F.create_map(*(x for k, v in sorted(nick.items()) for x in (F.lit(k), F.array(*map(F.lit, sorted(v))))))
+    entries = [x for k, v in sorted((nick or {}).items()) for x in (F.lit(k), F.array(*map(F.lit, sorted(v))))]
+    known = lambda f, e: F.coalesce(F.array_contains(F.try_element_at(F.create_map(*entries), e), f), F.lit(False)) if entries else F.lit(False)
     initials = F.transform(roster, lambda t: F.substring(t, 1, 1))
     firsts = F.forall(candidate, lambda t: (F.length(t) > 1) | F.array_contains(initials, t))
-    alike = lambda f, e: F.startswith(f, e) | F.startswith(e, f) | F.coalesce(F.array_contains(F.try_element_at(table, e), f), F.lit(False))
+    alike = lambda f, e: F.startswith(f, e) | F.startswith(e, f) | known(f, e)
     strong = F.exists(candidate, lambda f: (F.length(f) > 1) & F.exists(roster, lambda e: alike(f, e)))
     return (F.size(candidate) == 0) | (firsts & strong)
