@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spindrift.functions.vectors import dot
 from spindrift.operators.ranking import keep_first, top_k
 
+
 def match_rank() -> Column:
     return F.when(F.col("match_type") == "exact", 0).when(F.col("match_type") == "alias", 1).otherwise(2)
 
@@ -40,6 +41,12 @@ def semantic_scores(candidates: DataFrame, author_vectors: DataFrame, row_vector
     return c.withColumn("sim", F.when(~F.isnan(sim), sim)).drop("__a", "__r")
 
 
+def with_fallback(vectors: DataFrame, fallback: DataFrame) -> DataFrame:
+    """authorid, vec: an author's own vector, else its fallback."""
+    both = fallback.select("authorid", F.col("vec").alias("__fb")).join(vectors.select("authorid", "vec"), "authorid", "full")
+    return both.select("authorid", F.coalesce("vec", "__fb").alias("vec"))
+
+
 def max_field_scores(candidates: DataFrame, author_fields: DataFrame, field_vectors: DataFrame, row_vectors: DataFrame) -> DataFrame:
     """candidates with sim: the most similar of the author's fields."""
     f = author_fields.join(field_vectors.select("fieldid", F.col("vec").alias("__f")), "fieldid")

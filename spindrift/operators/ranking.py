@@ -31,9 +31,14 @@ def top_two_gap(rows: DataFrame, by: str, n: str, gap: str = "margin") -> DataFr
     return best.groupBy(by).agg((F.max(n) - F.coalesce(F.max(F.when(F.col("rk") == 2, F.col(n))), F.lit(0))).alias(gap))
 
 
+def hashed(key: str, seed: int) -> Column:
+    """A hash of seed and key that any engine can make."""
+    return F.md5(F.concat_ws(":", F.lit(seed).cast("string"), F.col(key).cast("string")))
+
+
 def hash_sample(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows by hash of the key and seed: the same rows at every partitioning."""
-    return rows.withColumn("__h", F.xxhash64(F.col(key), F.lit(seed))).orderBy("__h", key).limit(n).drop("__h")
+    return rows.withColumn("__h", hashed(key, seed)).orderBy("__h", key).limit(n).drop("__h")
 
 
 def stratified_sample(rows: DataFrame, stratum: str, key: str, sizes: dict[str, int], seed: int = 42) -> DataFrame:
@@ -41,5 +46,5 @@ def stratified_sample(rows: DataFrame, stratum: str, key: str, sizes: dict[str,
     want = F.lit(0)
     for s, n in sizes.items():
         want = F.when(F.col(stratum) == s, F.lit(n)).otherwise(want)
-    w = Window.partitionBy(stratum).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    w = Window.partitionBy(stratum).orderBy(hashed(key, seed), key)
     return rows.withColumn("__rk", F.row_number().over(w)).where(F.col("__rk") <= want).drop("__rk")

@@ -25,8 +25,12 @@ class Layers:
     final: DataFrame
 
 
-def run(config: RegionConfig, roster: DataFrame, authors: DataFrame, details: DataFrame, affiliations: DataFrame, papers: DataFrame, author_vectors: DataFrame, row_vectors: DataFrame, same=None, title: bool = False) -> Layers:
-    """roster: rid, name, host_id.  same(a, b) compares two names for re-opened homonyms; None accepts the key."""
+def run(config: RegionConfig, roster: DataFrame, authors: DataFrame, details: DataFrame, affiliations: DataFrame, papers: DataFrame, author_vectors: DataFrame | None, row_vectors: DataFrame, same=None, title: bool = False, author_fields: DataFrame | None = None, field_vectors: DataFrame | None = None, fallback_vectors: DataFrame | None = None) -> Layers:
+    """roster: rid, name, host_id.  same(a, b) compares two names for re-opened homonyms; None accepts the key.
+
+    Score v2 takes author_vectors, with fallback_vectors for authors that have none; v1 takes author_fields (authorid,
+    fieldid) and field_vectors.
+    """
     roster = layer(roster)
     keys = layer(L.roster_keys(roster, title, config.guard_empty_name))
     people, aliases = L.author_keys(authors), L.alias_keys(details)
@@ -46,10 +50,15 @@ def run(config: RegionConfig, roster: DataFrame, authors: DataFrame, details: Da
     ties = gated.join(institution.select("rid"), "rid", "left_anti").drop("host_id")
     nowhere = pending.join(gated.select("rid").distinct(), "rid", "left_anti")
     open_rows = ties.unionByName(nowhere)
-    scored = layer(D.semantic_scores(open_rows, author_vectors, row_vectors))
-    semantic = layer(D.semantic_pick(scored, config.sem_thresh_v2, config.sem_margin_v2, config.dedupe_before_margin))
+    threshold, margin = config.thresholds
+    if config.score == "v1":
+        scored = layer(D.max_field_scores(open_rows, author_fields, field_vectors, row_vectors))
+    else:
+        vectors = author_vectors if fallback_vectors is None else D.with_fallback(author_vectors, fallback_vectors)
+        scored = layer(D.semantic_scores(open_rows, vectors, row_vectors))
+    semantic = layer(D.semantic_pick(scored, threshold, margin, config.dedupe_before_margin))
     rest = scored.join(semantic.select("rid"), "rid", "left_anti")
-    fallback = layer(D.argmax_fallback(rest, distinct_papers(papers, rest), config.sem_thresh_v2))
+    fallback = layer(D.argmax_fallback(rest, distinct_papers(papers, rest), threshold))
     answers = [unique, institution, semantic, fallback]
     ids = unique.select("authorid").unionByName(institution.select("authorid")).unionByName(semantic.select("authorid")).unionByName(fallback.select("authorid"))
     final = D.finalise(distinct_papers(papers, ids), *answers)

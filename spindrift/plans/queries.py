@@ -114,12 +114,12 @@ def words_sql(n: int) -> str:
     return f"SELECT doc_id, array_to_string(string_split_regex(trim(text), '\\s+')[1:{n}], ' ') AS name FROM documents"
 
 
-NAMES = "names AS (SELECT doc_id, regexp_extract(text, '^[^\\n]{0,60}') AS name FROM documents)"
+NAMES = "names AS (SELECT doc_id, text AS name FROM documents)"
 
 
 def doc_names(spark, sf_dir) -> DataFrame:
-    """Names as hard as texts get: the start of every document's first line."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", r"^[^\n]{0,60}", 0).alias("name"))
+    """Names as hard as texts get: every whole text."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("name"))
 
 
 @query("norm_key", f"WITH {NAMES} SELECT doc_id, {N('name')} AS nn FROM names")
@@ -327,10 +327,10 @@ def dup_propagate(spark, sf_dir):
     return L.propagate(resolved, rows, ["c_nationkey", "c_mktsegment"])
 
 
-@query("rescue_surname", f"{WITH}, t AS (SELECT rid, host_id, string_split({N('name')}, ' ') AS t FROM roster WHERE rid % 2 = 0), k AS (SELECT DISTINCT rid, host_id, unnest([t[len(t)], t[len(t) - 1], t[1]]) AS last FROM t), p AS (SELECT authorid, display_name, list_extract(string_split({N('display_name')}, ' '), -1) AS last FROM authors) SELECT DISTINCT k.rid, p.authorid FROM k JOIN p USING (last) JOIN aff a ON a.authorid = p.authorid AND a.institutionid = k.host_id")
+@query("rescue_surname", f"{WITH}, t AS (SELECT rid, host_id, string_split({N('name')}, ' ') AS t FROM roster), k AS (SELECT DISTINCT rid, host_id, unnest([t[len(t)], t[len(t) - 1], t[1]]) AS last FROM t), p AS (SELECT authorid, display_name, list_extract(string_split({N('display_name')}, ' '), -1) AS last FROM authors) SELECT DISTINCT k.rid, p.authorid FROM k JOIN p USING (last) JOIN aff a ON a.authorid = p.authorid AND a.institutionid = k.host_id")
 def rescue_surname(spark, sf_dir):
     r = roles(spark, sf_dir)
-    found = L.surname_recall(r.roster.where("rid % 2 = 0"), r.authors, r.roster.select("rid", "host_id"), r.affiliations)
+    found = L.surname_recall(r.roster, r.authors, r.roster.select("rid", "host_id"), r.affiliations)
     return found.select("rid", "authorid").distinct()
 
 
@@ -413,12 +413,12 @@ def quantile_compare(spark, sf_dir):
     return out.select("quality", "n", "lo", F.round("mean", 6).alias("mean"), "hi", F.round("p50", 6).alias("p50"), F.round("p90", 6).alias("p90"))
 
 
-@query("hash_sample")
+@query("hash_sample", "SELECT o_orderkey, o_custkey FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 100")
 def hash_sample(spark, sf_dir):
     return R.hash_sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", 100)
 
 
-@query("stratified_sample")
+@query("stratified_sample", "SELECT o_orderkey, o_orderpriority FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('42:' || o_orderkey), o_orderkey) <= CASE o_orderpriority WHEN '1-URGENT' THEN 50 WHEN '2-HIGH' THEN 50 WHEN '5-LOW' THEN 100 ELSE 0 END")
 def stratified_sample(spark, sf_dir):
     return R.stratified_sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey", {"1-URGENT": 50, "2-HIGH": 50, "5-LOW": 100})
 
@@ -456,10 +456,10 @@ def max_cosine(spark, sf_dir):
     return out.where("sim IS NOT NULL").select("rid", "authorid", F.round("sim", 6).alias("sim"))
 
 
-@query("fallback_vector", f"WITH {SQL_ROLES}, {VEC}, a AS (SELECT authorid FROM authors WHERE authorid % 5 = 0), o AS (SELECT authorid, vec FROM a, cnt JOIN uv ON vec_id = authorid % c WHERE authorid % 2 = 0), fb AS (SELECT authorid, vec FROM a, cnt JOIN uv ON vec_id = (authorid + 1) % c) SELECT authorid, round(coalesce(o.vec[1], fb.vec[1]), 6) AS v1, o.vec IS NULL AS from_fields FROM a LEFT JOIN o USING (authorid) LEFT JOIN fb USING (authorid)")
+@query("fallback_vector", f"WITH {SQL_ROLES}, {VEC}, a AS (SELECT authorid FROM authors), o AS (SELECT authorid, vec FROM a, cnt JOIN uv ON vec_id = authorid % c WHERE authorid % 2 = 0), fb AS (SELECT authorid, vec FROM a, cnt JOIN uv ON vec_id = (authorid + 1) % c) SELECT authorid, round(coalesce(o.vec[1], fb.vec[1]), 6) AS v1, o.vec IS NULL AS from_fields FROM a LEFT JOIN o USING (authorid) LEFT JOIN fb USING (authorid)")
 def fallback_vector(spark, sf_dir):
     r = roles(spark, sf_dir)
-    a = r.authors.where("authorid % 5 = 0").select("authorid")
+    a = r.authors.select("authorid")
     own = r.vectors_of(a.where("authorid % 2 = 0"), "authorid", F.col("authorid")).withColumnRenamed("vec", "own")
     back = r.vectors_of(a, "authorid", F.col("authorid") + 1)
     return a.join(own, "authorid", "left").join(back, "authorid", "left").select("authorid", F.round(F.coalesce("own", "vec")[0], 6).alias("v1"), F.col("own").isNull().alias("from_fields"))
@@ -586,7 +586,8 @@ def inst_jaccard_tier(spark, sf_dir):
     shown = F.when(k == 0, F.concat(F.lit("The University of "), F.col("n_name"))).when(k == 1, F.concat(F.lit("University "), F.col("n_name"), F.lit(" Campus"))).otherwise(F.concat(F.lit("Big Other "), F.col("n_name")))
     result = F.array(F.struct(F.concat(F.lit("https://x/I"), F.col("s_suppkey")).alias("id"), shown.alias("display_name"), F.array().cast("array<string>").alias("alternatives"), F.lit(1.0).alias("relevance"), F.lit(None).cast("string").alias("ror")))
     hosts = s.select(F.concat(F.lit("The University of "), F.col("n_name"), F.lit(" "), F.col("s_suppkey").cast("string")).alias("name"), result.alias("results"))
-    return S.classify(hosts.withColumn("name", F.regexp_replace("name", r" \d+$", "")).dropDuplicates(["name"]))
+    plain = hosts.withColumn("order", F.regexp_extract("name", r"(\d+)$", 1).cast("long")).withColumn("name", F.regexp_replace("name", r" \d+$", ""))
+    return S.classify(R.keep_first(plain, ["name"], [F.asc("order")]).drop("order"))
 
 
 @query("inst_variants")

@@ -22,6 +22,12 @@ class RegionConfig:
     use_fuzzy: bool = True
     guard_empty_name: bool = False
     dedupe_before_margin: bool = False
+    score: str = "v2"  # v1: the most similar of an author's fields; v2: an author's own vector
+
+    @property
+    def thresholds(self) -> tuple[float, float]:
+        """(threshold, margin) of the score in use."""
+        return (self.sem_thresh_v1, self.sem_margin_v1) if self.score == "v1" else (self.sem_thresh_v2, self.sem_margin_v2)
 
     def from_env(self, environ=os.environ) -> RegionConfig:
         changes = {}

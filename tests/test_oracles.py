@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from spindrift.plans import more_queries  # noqa: F401  registers
 from spindrift.plans import queries as q
 from spindrift.plans.registry import ORACLES, QUERIES
 
