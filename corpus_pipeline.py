@@ -22,8 +22,9 @@ from spindrift.llm.queries import vocabulary
 LEAST_QUALITY = 0.5
 #: Jaccard similarity of 5-word shingles, in percent, from which documents are near duplicates.
 NEAR_PERCENT = 80
-#: Most bytes of encoded runs that a worker keeps: executors still hold what earlier stages took.
-RUN_STORE = 56 << 20
+#: Most bytes of encoded runs that a worker keeps and of text that it encodes at once: executors still hold what earlier
+#: stages took.
+RUN_STORE, SLICE_BYTES = 24 << 20, 1 << 20
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of what is left."""
-    return bpe.round_trip(docs, vocabulary(), with_ids=True, run_store=RUN_STORE)
+    return bpe.round_trip(docs, vocabulary(), with_ids=True, run_store=RUN_STORE, slice_bytes=SLICE_BYTES)
 
 
 STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("tokens", tokens)]

@@ -38,7 +38,7 @@ from spindrift.llm.common import large_text, map_slices
 
 WINDOW, MASK_BITS, DOC_BYTES = 8, 10, 4 << 20
 #: Most bytes that a worker keeps of chunks and of joins; of runs unless the caller says otherwise.
-CHUNK_STORE, JOIN_STORE, RUN_STORE = 24 << 20, 8 << 20, 160 << 20
+CHUNK_STORE, JOIN_STORE, RUN_STORE = 16 << 20, 6 << 20, 160 << 20
 #: White space at which pre-tokens always end, as bytes.
 CUTS = (9, 10, 11, 12, 13, 32)
 BLANK = np.zeros(256, bool)
@@ -134,7 +134,7 @@ class Library:
     """The tokenizers library with a vocabulary file; counts the strings that it is given."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -143,20 +143,16 @@ class Library:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.cut = can_cut(self.tokenizer)
         self.bulk = None
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        suffix = spec["model"].get("end_of_word_suffix")
-        fits = (spec.get("normalizer") or {}).get("normalizers") == NORMALIZER and len(parts) == 2 and parts[1] == BYTE_LEVEL
+        own = lambda part: json.loads(part.__getstate__()) if part is not None else {}  # noqa: E731  a component's own specification
+        normalizer, splitter, suffix = own(self.tokenizer.normalizer), own(self.tokenizer.pre_tokenizer), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        parts = splitter.get("pretokenizers", [])
+        fits = normalizer.get("normalizers") == NORMALIZER and len(parts) == 2 and parts[1] == BYTE_LEVEL
         if self.cut and fits and suffix and parts[0].get("type") == "Split" and parts[0].get("behavior") == "Removed" and parts[0].get("invert") is True and "Regex" in parts[0]["pattern"]:
             self.pattern = f"(?:{parts[0]['pattern']['Regex']})"
             self.added = sorted({t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
             self.last = np.zeros(self.size, bool)
             self.last[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=True).items() if t.endswith(suffix)]] = True
-            self.bulk = Tokenizer.from_file(path)
-            self.bulk.no_truncation()
-            self.bulk.no_padding()
-            self.bulk.normalizer = normalizers.Sequence([])
+            self.bulk = Tokenizer(self.tokenizer.model)  # the same model, behind no normaliser
             self.bulk.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
             if not self.bulk_agrees():
                 self.bulk = None
@@ -445,7 +441,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     return rows.select("doc_id", "ids").mapInArrow(bounded, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str, with_ids: bool = False, run_store: int | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, path: str, with_ids: bool = False, run_store: int | None = None, slice_bytes: int = DOC_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (ids as little-endian uint32), decoded_sha256 (UTF-8) and, if asked, ids of each row."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -460,4 +456,4 @@ def round_trip(docs: DataFrame, path: str, with_ids: bool = False, run_store: in
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(cols)])
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return map_slices(docs.select("doc_id", "text"), run, schema, most=DOC_BYTES)
+    return map_slices(docs.select("doc_id", "text"), run, schema, most=slice_bytes)
