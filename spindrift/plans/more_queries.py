@@ -97,10 +97,10 @@ def recommended_cell(spark, sf_dir):
     return X.recommended(grid, 0.1).withColumn("precision", F.round("precision", 6))
 
 
-@query("language_rules", "WITH n AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY source) AS share FROM n), h AS (SELECT 'floor' AS rule, CAST(f AS DOUBLE) AS value, lang, source FROM s, unnest([5, 20, 60]) t(f) WHERE n >= f UNION ALL SELECT 'share', CAST(f AS DOUBLE), lang, source FROM s, unnest([0.1, 0.25, 0.5]) t(f) WHERE share >= f) SELECT rule, value, lang, min(source) AS source FROM h GROUP BY rule, value, lang HAVING min(source) = max(source)")
+@query("language_rules", "WITH n AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL), s AS (SELECT *, n / sum(n) OVER (PARTITION BY lang) AS share FROM n), h AS (SELECT 'floor' AS rule, CAST(f AS DOUBLE) AS value, lang, source FROM s, unnest([12, 20, 60]) t(f) WHERE n >= f UNION ALL SELECT 'share', CAST(f AS DOUBLE), lang, source FROM s, unnest([0.04, 0.06, 0.1]) t(f) WHERE share >= f) SELECT rule, value, source, min(lang) AS lang FROM h GROUP BY rule, value, source HAVING min(lang) = max(lang)")
 def language_rules(spark, sf_dir):
     n = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
-    return X.language_rules(n, "lang", "source", "n", [5, 20, 60], [0.1, 0.25, 0.5])
+    return X.language_rules(n, "source", "lang", "n", [12, 20, 60], [0.04, 0.06, 0.1])
 
 
 @query("first_text", "SELECT source, arg_min(text, doc_id) AS text FROM documents WHERE text IS NOT NULL GROUP BY source")
