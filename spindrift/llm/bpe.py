@@ -28,6 +28,7 @@ import json
 import os
 import sys
 import types
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -83,8 +84,7 @@ class Store:
 
     def find(self, pieces: list[bytes]) -> np.ndarray:
         """The slot of each piece, -1 for new ones."""
-        get = self.known.get
-        out = np.fromiter((get(p, -1) for p in pieces), np.int64, len(pieces))
+        out = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         self.hits[out[out >= 0]] += 1
         return out
 
@@ -124,6 +124,11 @@ class Store:
         self.fill({names[i]: k for k, i in enumerate(keep.tolist())}, flat, lens, self.hits[keep] // 2)
 
 
+def bytes_of(column: pa.Array) -> list[bytes]:
+    """The values of a column without nulls, without a scalar object for each."""
+    return column.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+
+
 def gathered(flat: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """flat[starts[i] : starts[i] + lens[i]] one after the other."""
     ends = np.cumsum(lens)
@@ -292,7 +297,7 @@ class Encoder:
         """(ids, numbers) of texts (binary) by their distinct runs."""
         lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts.cast(pa.large_string())))
         coded = lists.flatten().dictionary_encode()
-        names = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        names = bytes_of(coded.dictionary)
         slots = self.run_slots(names)[coded.indices.to_numpy(zero_copy_only=False)]
         ids, lens = self.runs.take(slots)
         ends = np.concatenate(([0], np.cumsum(lens)))
@@ -341,7 +346,7 @@ class Encoder:
         bounds = np.append(starts, len(raw)).astype(np.int64)
         pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)])
         coded = pieces.filter(pa.array(~torn)).dictionary_encode()
-        chunk_ids, chunk_lens = self.chunks.take(self.chunk_slots(coded.dictionary.to_pylist()))
+        chunk_ids, chunk_lens = self.chunks.take(self.chunk_slots(bytes_of(coded.dictionary)))
         places = windows_of(raw, offsets, starts[torn], bounds[1:][torn])
         slots = self.join_slots(raw.tobytes(), places) if places else np.zeros(0, np.int64)
         if (slots < 0).any():  # the window that agrees is the document
