@@ -44,7 +44,7 @@ DIGIT = U(1 << DIGIT_BITS)
 #: Confirmations of a predicted id, 0 to 15, after a miss (even places) and a hit (odd places); a weak one is replaced.
 BEFORE = np.arange(32) >> 1
 WEAK = (np.arange(32) % 2 == 0) & (BEFORE < 2)
-CHANGE = np.where(np.arange(32) % 2 == 1, np.minimum(BEFORE + 1, 15), BEFORE >> 1) - BEFORE
+CHANGE = (np.where(np.arange(32) % 2 == 1, np.minimum(BEFORE + 1, 15), BEFORE >> 1) - BEFORE).astype(np.int32)
 
 
 class Model:
@@ -57,7 +57,7 @@ class Model:
     def __init__(self, vocabulary: int, lanes: int):
         self.size = vocabulary
         self.counts, self.fresh = np.zeros(vocabulary, np.int64), []
-        self.one, self.two = np.zeros(vocabulary, np.int64), np.zeros(1 << PAIR_BITS, np.int64)
+        self.one, self.two = np.zeros(vocabulary, np.int32), np.zeros(1 << PAIR_BITS, np.int32)
         self.tries, self.hits = np.full((2, 16), 4.0), np.full((2, 16), 1.0)
         self.before, self.mixed = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.step, self.next_build = 0, 0
@@ -71,7 +71,7 @@ class Model:
         room = (1 << ORDER0_BITS) - self.size
         freq = 1 + (self.counts * room // total if total else np.zeros(self.size, np.int64))
         freq[0] += (1 << ORDER0_BITS) - int(freq.sum())
-        self.cum = np.concatenate(([0], np.cumsum(freq))).astype(np.uint64)
+        self.freq, self.span = freq, ((np.cumsum(freq) - freq) << 32 | freq).astype(np.uint64)  # an id's start and share
         self.table = None
         self.next_build = self.step + (1 if self.step < 4 else min(32, self.step // 2))
 
@@ -100,17 +100,17 @@ class Model:
         n = len(ids)
         code2, code1 = (self.k2 << 1) + hit2, (self.k1 << 1) + same1
         # order 1 is measured where order 2 said something else and was wrong
-        for row, found in enumerate((np.bincount(code2, minlength=32), np.bincount(code1[self.differ > hit2], minlength=32))):
+        measured = code1 + ((self.differ > hit2).view(np.int8) << 5)
+        for row, found in enumerate((np.bincount(code2, minlength=32), np.bincount(measured, minlength=64)[32:])):
             self.tries[row] += found[::2] + found[1::2]
             self.hits[row] += found[1::2]
         big = self.tries > 1 << 16
         self.tries[big] /= 2
         self.hits[big] /= 2
-        fresh = ids << 4
+        fresh = (ids << 4) + 1
         for table, at, code, entry in ((self.two, self.at, code2, self.e2), (self.one, self.before[:n], code1, self.e1)):
             entry += CHANGE.take(code)
-            np.copyto(entry, fresh + 1, where=WEAK.take(code))
-            table[at] = entry
+            table[at] = np.where(WEAK.take(code), fresh, entry)
         self.fresh.append(ids)
         np.multiply(self.before[:n], 0x85EBCA77, out=self.mixed[:n])
         self.before[:n] = ids
@@ -120,7 +120,7 @@ class Model:
 
     def symbols(self) -> np.ndarray:
         if self.table is None:
-            self.table = np.repeat(np.arange(self.size, dtype=np.uint16 if self.size <= 1 << 16 else np.uint32), np.diff(self.cum).astype(np.int64))
+            self.table = np.repeat(np.arange(self.size, dtype=np.uint16 if self.size <= 1 << 16 else np.uint32), self.freq)
         return self.table
 
 
@@ -135,27 +135,34 @@ def layout(n: int) -> tuple[int, np.ndarray]:
 def by_steps(ids: np.ndarray, lanes: int, steps: int) -> np.ndarray:
     """The ids as one row of all lanes a step, so that a step reads neighbours; short lanes end with a zero."""
     n_long = len(ids) - lanes * (steps - 1)
-    out = np.zeros((steps, lanes), np.int64)
+    out = np.zeros((steps, lanes), np.int32)
     out[:, :n_long] = ids[: n_long * steps].reshape(n_long, steps).T
     out[:-1, n_long:] = ids[n_long * steps :].reshape(lanes - n_long, steps - 1).T
     return out
 
 
-def narrowed(rng: np.ndarray, rest: np.ndarray, f2, f1, cum: np.ndarray, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def narrowed(rng: np.ndarray, rest: np.ndarray, f2, f1, span: np.ndarray, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(offset, range) of the ids x within the lanes' ranges."""
     r = rng >> U(TOTAL_BITS)
-    both = f2 + f1
-    start, end = cum.take(x), cum.take(x + 1)
+    end = span.take(x)
+    start = end >> U(32)
+    end &= U((1 << 32) - 1)
+    end += start
     start *= rest
     end *= rest
     start >>= U(ORDER0_BITS)
     end >>= U(ORDER0_BITS)
     end -= start
-    start += both
-    np.copyto(start, f2, where=hit1)
-    np.copyto(end, f1, where=hit1)
-    np.copyto(start, U(0), where=hit2)
-    np.copyto(end, f2, where=hit2)
+    start += f2
+    start += f1
+    # all bits or none, instead of copies by a condition: those take longer than all else here
+    two, one = U(0) - hit2, U(0) - hit1
+    none = ~(two | one)
+    start &= none
+    start |= f2 & one
+    end &= none
+    end |= f1 & one
+    end |= f2 & two
     start *= r
     end *= r
     return start, end
@@ -169,46 +176,43 @@ def compress(ids: np.ndarray, vocabulary: int) -> tuple[int, np.ndarray, np.ndar
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
     who: list[np.ndarray] = []
     what: list[np.ndarray] = []
-    rows = by_steps(ids, lanes, int(size[0])) if n else np.zeros((0, lanes), np.int64)
+    rows = by_steps(ids, lanes, int(size[0])) if n else np.zeros((0, lanes), np.int32)
 
-    def emit(at):
+    def emit(at, lo):
         who.append(at)
-        what.append((low[at] >> U(DIGIT_BITS)).astype(np.uint32))
+        what.append((lo >> U(DIGIT_BITS)).astype(np.uint32))
 
     for step in range(int(size[0])):
         k = lanes if step < size[-1] else int((size > step).sum())
         x = rows[step, :k]
         f2, f1, rest = model.predict(k)
         hit2, same1 = x == model.s2, x == model.s1
-        offset, rng[:k] = narrowed(rng[:k], rest, f2, f1, model.cum, x, hit2, same1 & ~hit2)
+        offset, rng[:k] = narrowed(rng[:k], rest, f2, f1, model.span, x, hit2, same1 > hit2)
         low[:k] += offset
         shift(low, rng, k, emit)
         model.update(x, hit2, same1)
     for _ in range(2):  # the rest of every lane's interval
-        emit(np.arange(lanes))
+        emit(np.arange(lanes), low)
         low <<= U(DIGIT_BITS)
     who, what = np.concatenate(who).astype(np.uint16 if lanes <= 1 << 16 else np.uint32), np.concatenate(what)
     return lanes, np.bincount(who, minlength=lanes).astype(np.uint32), what[np.argsort(who, kind="stable")]
 
 
 def shift(low, rng, k, emit):
-    """Bring the ranges of the first k lanes back to a digit at least; emit(lanes) is called before each shift by a digit.
+    """Bring the ranges of the first k lanes back to a digit at least; emit(lanes, their low ends) is called before the shift.
 
-    A range is shifted when its first digit is settled, or when it is under a digit: then it is cut so that it is settled.
+    A range under a digit is shifted once; where its first digit isn't settled it is cut so that it is.  No range is
+    empty, so that one shift makes it a digit at least.
     """
-    at = np.flatnonzero(rng[:k] < DIGIT)  # others have no settled digit
-    while len(at):
+    at = np.flatnonzero(rng[:k] < DIGIT)
+    if len(at):
         lo, ra = low[at], rng[at]
-        settled = (lo ^ (lo + ra)) < DIGIT
-        narrow = ~settled & (ra < DIGIT)
-        if narrow.any():
-            tight = at[narrow]
-            rng[tight] = (~low[tight] + U(1)) & (DIGIT - U(1))
-        at = at[settled | narrow]
-        if len(at):
-            emit(at)
-            low[at] <<= U(DIGIT_BITS)
-            rng[at] <<= U(DIGIT_BITS)
+        open_ = (lo ^ (lo + ra)) >= DIGIT
+        if open_.any():
+            ra[open_] = (~lo[open_] + U(1)) & (DIGIT - U(1))
+        emit(at, lo)
+        low[at] = lo << U(DIGIT_BITS)
+        rng[at] = ra << U(DIGIT_BITS)
 
 
 def decompress(n: int, vocabulary: int, lanes: int, counts: np.ndarray, digits: np.ndarray) -> np.ndarray:
@@ -223,9 +227,9 @@ def decompress(n: int, vocabulary: int, lanes: int, counts: np.ndarray, digits:
         code = (code << U(DIGIT_BITS)) | digits[at]
         at += 1
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    rows = np.empty((int(size[0]), lanes), np.int64)
+    rows = np.empty((int(size[0]), lanes), np.int32)
 
-    def feed(who):
+    def feed(who, _):
         code[who] = (code[who] << U(DIGIT_BITS)) | digits[np.minimum(at[who], len(digits) - 1)]
         at[who] += 1
 
@@ -236,14 +240,13 @@ def decompress(n: int, vocabulary: int, lanes: int, counts: np.ndarray, digits:
         v //= rng[:k] >> U(TOTAL_BITS)
         both = f2 + f1
         hit2 = v < f2
-        hit1 = (v < both) & ~hit2
+        hit1 = (v < both) > hit2
         # operands under 2^48, quotients under 2^20: the quotient of doubles has the exact whole part
         u = np.maximum(v, both) - both
         u = np.floor((((u + U(1)) << U(ORDER0_BITS)) - U(1)).astype(np.float64) / rest.astype(np.float64)).astype(np.int64)
-        x = model.symbols().take(np.minimum(u, (1 << ORDER0_BITS) - 1)).astype(np.int64)
-        np.copyto(x, model.s1, where=hit1)
-        np.copyto(x, model.s2, where=hit2)
-        offset, rng[:k] = narrowed(rng[:k], rest, f2, f1, model.cum, x, hit2, hit1)
+        x = model.symbols().take(np.minimum(u, (1 << ORDER0_BITS) - 1)).astype(np.int32)
+        x = np.where(hit2, model.s2, np.where(hit1, model.s1, x))
+        offset, rng[:k] = narrowed(rng[:k], rest, f2, f1, model.span, x, hit2, hit1)
         low[:k] += offset
         shift(low, rng, k, feed)
         rows[step, :k] = x
