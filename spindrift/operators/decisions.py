@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spindrift.functions.vectors import dot
+from spindrift.operators.linkage import Candidates, keyed, spread_join
 from spindrift.operators.ranking import keep_first, top_k
 
 
@@ -23,11 +24,9 @@ def one_per_rid(rows: DataFrame, source: str | Column) -> DataFrame:
     return first.withColumn("source", F.lit(source) if isinstance(source, str) else source)
 
 
-def name_unique(exact: DataFrame, alias: DataFrame) -> DataFrame:
+def name_unique(candidates: Candidates) -> DataFrame:
     """Rows of rids with one author over exact and alias names and an exact hit."""
-    both = exact.unionByName(alias)
-    rids = unique_rids(both).join(exact.select("rid").distinct(), "rid", "left_semi")
-    return one_per_rid(exact.join(rids, "rid", "left_semi"), "name_unique")
+    return one_per_rid(candidates.unique(), "name_unique")
 
 
 def institution_unique(gated: DataFrame) -> DataFrame:
@@ -37,8 +36,28 @@ def institution_unique(gated: DataFrame) -> DataFrame:
 def semantic_scores(candidates: DataFrame, author_vectors: DataFrame, row_vectors: DataFrame) -> DataFrame:
     """candidates with sim: the author's unit vector times the row's; null without either."""
     c = candidates.join(author_vectors.select("authorid", F.col("vec").alias("__a")), "authorid", "left").join(row_vectors.select("rid", F.col("vec").alias("__r")), "rid", "left")
-    sim = F.when(F.col("__a").isNotNull() & F.col("__r").isNotNull(), dot(F.col("__a"), F.col("__r")))
-    return c.withColumn("sim", F.when(~F.isnan(sim), sim)).drop("__a", "__r")
+    return c.withColumn("sim", product(F.col("__a"), F.col("__r"))).drop("__a", "__r")
+
+
+def product(a: Column, b: Column) -> Column:
+    sim = F.when(a.isNotNull() & b.isNotNull(), dot(a, b))
+    return F.when(~F.isnan(sim), sim)
+
+
+def scores_by_key(candidates: Candidates, rows: DataFrame, papers: DataFrame, row_vectors: DataFrame, author_vectors: DataFrame | None = None, author_fields: DataFrame | None = None, field_vectors: DataFrame | None = None) -> DataFrame:
+    """All candidates of rows with sim and n_papers.  Vectors and counts are joined to an author once a key, and the pair
+    is scored where the key's two sides meet, so no pair is shuffled."""
+    authors = candidates.author_side(rows).join(papers, "authorid", "left")
+    if author_fields is not None:
+        each = author_fields.join(field_vectors.select("fieldid", "vec"), "fieldid").groupBy("authorid").agg(F.collect_list("vec").alias("__a"))
+        sim = F.array_max(F.transform("__a", lambda v: product(v, F.col("__r"))))
+    else:
+        each, sim = author_vectors.select("authorid", F.col("vec").alias("__a")), product(F.col("__a"), F.col("__r"))
+    own = keyed(rows).join(row_vectors.select("rid", F.col("vec").alias("__r")), "rid", "left")
+    met = spread_join(own.select("rid", "name", "nn", "k", "__r"), authors.join(each, "authorid", "left"), "k")
+    scored = met.select("rid", "name", "authorid", "nn", "n_papers", sim.alias("sim"), F.explode("found").alias("e"))
+    scored = scored.where(F.col("e.nn").isNull() | (F.col("e.nn") == F.col("nn")))
+    return scored.select("rid", "name", "authorid", "e.sci_name", "e.match_type", "sim", "n_papers")
 
 
 def with_fallback(vectors: DataFrame, fallback: DataFrame) -> DataFrame:
@@ -71,9 +90,9 @@ def semantic_pick(scored: DataFrame, threshold: float, margin: float, dedupe: bo
     return ranked.where((F.col("rk") == 1) & good).drop("rk", "__second").withColumn("source", F.lit("round3_semantic"))
 
 
-def argmax_fallback(rows: DataFrame, papers: DataFrame, threshold: float) -> DataFrame:
-    """One row for each rid: passed first, then most papers, then the smallest id."""
-    r = rows.withColumn("passed", F.coalesce(F.col("sim") >= threshold, F.lit(False))).join(papers, "authorid", "left").withColumn("n_papers", F.coalesce("n_papers", F.lit(0)))
+def argmax_fallback(rows: DataFrame, threshold: float) -> DataFrame:
+    """One row for each rid of rows with sim and n_papers: passed first, then most papers, then the smallest id."""
+    r = rows.withColumn("passed", F.coalesce(F.col("sim") >= threshold, F.lit(False))).withColumn("n_papers", F.coalesce("n_papers", F.lit(0)))
     best = keep_first(r, ["rid"], [F.desc("passed"), F.desc("n_papers"), F.asc("authorid"), match_rank().asc()])
     return best.withColumn("source", F.when(F.col("passed"), "round4_semtie").otherwise("round4_maxpapers"))
 

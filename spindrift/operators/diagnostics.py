@@ -31,14 +31,20 @@ def first_text(rows: DataFrame, by: str, text: str, order: str) -> DataFrame:
     return rows.where(F.col(text).isNotNull()).groupBy(by).agg(F.min_by(text, order).alias(text))
 
 
-def label_filter_sweep(candidates: DataFrame, labels: DataFrame, wanted: DataFrame, papers: DataFrame, gold: DataFrame, ks: list[int]) -> DataFrame:
+def label_filter_sweep(candidates: DataFrame, labels: DataFrame, wanted: DataFrame, papers: DataFrame, gold: DataFrame, ks: list[int], members: DataFrame | None = None) -> DataFrame:
     """k, n, correct: most papers among candidates that have the row's wanted label (rid, fieldid) among their top k
-    labels (authorid, fieldid, rk), among all if none has it."""
-    rows = candidates.select("rid", "authorid").distinct().join(papers, "authorid", "left").join(wanted, "rid", "left").join(labels, ["authorid", "fieldid"], "left")
+    labels (authorid, fieldid, rk), among all if none has it.  With members (rid, cid) the candidates are those of
+    classes, with cid in rid; rows of one class and one wanted label have the same answer."""
+    pool = candidates.select("rid", "authorid").distinct()
+    rids = pool.select("rid").distinct() if members is None else members
+    of = rids.join(wanted.select("rid", "fieldid"), "rid", "left").select("rid", F.col("rid" if members is None else "cid").alias("cid"), F.col("fieldid").alias("label"))
+    classes = of.select(F.col("cid").alias("rid"), "label").distinct()
+    rows = pool.join(papers, "authorid", "left").join(classes, "rid").join(labels.withColumnRenamed("fieldid", "label"), ["authorid", "label"], "left")
     each = rows.withColumn("k", F.explode(F.array(*map(F.lit, ks))))
-    kept = filter_or_all(each, ["k", "rid"], F.col("rk") <= F.col("k"))
-    best = keep_first(kept, ["k", "rid"], [F.desc_nulls_last("n_papers"), F.asc("authorid")])
-    rows = best.join(gold.select("rid", F.col("authorid").alias("gold")), "rid")
+    kept = filter_or_all(each, ["k", "rid", "label"], F.col("rk") <= F.col("k"))
+    best = keep_first(kept, ["k", "rid", "label"], [F.desc_nulls_last("n_papers"), F.asc("authorid")]).select("k", F.col("rid").alias("c"), F.col("label").alias("l"), "authorid")
+    answers = of.join(best, (F.col("c") == F.col("cid")) & F.col("l").eqNullSafe(F.col("label"))).select("k", "rid", "authorid")
+    rows = answers.join(gold.select("rid", F.col("authorid").alias("gold")), "rid")
     return rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("authorid") == F.col("gold")).alias("correct"))
 
 
@@ -75,9 +81,8 @@ def language_rules(counts: DataFrame, by: str, holder: str, n: str, floors: list
     return one.where(F.col(holder) == F.col("hi")).drop("hi")
 
 
-def worklist(roster: DataFrame, candidates: DataFrame, final: DataFrame) -> DataFrame:
-    """rid, pool, sole: unanswered rows with candidates, the smallest pools first to look up; sole holders stand alone."""
-    pool = candidates.select("rid", "authorid").distinct().groupBy("rid").agg(F.count(F.lit(1)).alias("pool"))
+def worklist(roster: DataFrame, pool: DataFrame, final: DataFrame) -> DataFrame:
+    """rid, pool, sole, of pool (rid, pool: its number of candidates): unanswered rows with candidates, the smallest pools first to look up; sole holders stand alone."""
     return roster.select("rid").join(final.select("rid"), "rid", "left_anti").join(pool, "rid").select("rid", "pool", (F.col("pool") == 1).alias("sole"))
 
 

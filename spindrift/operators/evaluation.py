@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 from spindrift.operators.aggregates import distribution, rate
 
 
-def recall(gold: DataFrame, candidates: DataFrame, resolvable: DataFrame | None = None) -> DataFrame:
-    """n_gold, recalled, recall and pool statistics over the candidates of gold rids."""
+def of_rows(answers: DataFrame, members: DataFrame | None) -> DataFrame:
+    """Answers of classes of rows (their cid in rid) as answers of the rows (members: rid, cid)."""
+    return answers if members is None else answers.withColumnRenamed("rid", "cid").join(members, "cid").drop("cid")
+
+
+def recall(gold: DataFrame, candidates: DataFrame, resolvable: DataFrame | None = None, members: DataFrame | None = None) -> DataFrame:
+    """n_gold, recalled, recall and pool statistics over the candidates of gold rids.
+
+    With members (rid, cid) the candidates are those of classes, with cid in rid, here and in the sweeps below.
+    """
     pool = candidates.select("rid", "authorid").distinct()
-    hit = gold.join(pool, ["rid", "authorid"], "left_semi").select("rid", F.lit(True).alias("hit"))
-    sizes = pool.groupBy("rid").agg(F.count(F.lit(1)).alias("pool"))
+    asked = gold if members is None else gold.join(members, "rid").select("authorid", F.col("rid").alias("__r"), F.col("cid").alias("rid"))
+    hit = asked.join(pool, ["rid", "authorid"], "left_semi").select(F.col("rid" if members is None else "__r").alias("rid"), F.lit(True).alias("hit"))
+    sizes = of_rows(pool.groupBy("rid").agg(F.count(F.lit(1)).alias("pool")), members)
     rows = gold.join(hit, "rid", "left").join(sizes, "rid", "left")
     if resolvable is not None:
         rows = rows.join(resolvable.select("authorid").distinct(), "authorid", "left_semi")
@@ -25,7 +34,8 @@ def precision_by_source(gold: DataFrame, final: DataFrame) -> DataFrame:
 
 
 def error_classes(gold: DataFrame, candidates: DataFrame, final: DataFrame, known: DataFrame) -> DataFrame:
-    """outcome, n of gold rows: correct, unresolvable_gold, not_recalled, disambig_wrong or unanswered."""
+    """outcome, n of gold rows: correct, unresolvable_gold, not_recalled, disambig_wrong or unanswered.  Of the candidates
+    only gold pairs count, so those are enough."""
     pool = candidates.select("rid", "authorid").distinct().withColumn("in_pool", F.lit(True))
     rows = gold.join(pool, ["rid", "authorid"], "left").join(final.select("rid", F.col("authorid").alias("answer")), "rid", "left")
     rows = rows.join(known.select("authorid").distinct().withColumn("known", F.lit(True)), "authorid", "left")
@@ -79,19 +89,23 @@ def top_is_gold(scored: DataFrame, gold: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("authorid") == F.col("gold")).alias("top_is_gold"))
 
 
-def oracle_fields(candidates: DataFrame, gold: DataFrame, top_fields: DataFrame, papers: DataFrame) -> DataFrame:
+def oracle_fields(candidates: DataFrame, gold: DataFrame, top_fields: DataFrame, papers: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """n, correct: arg-max papers among candidates that share a top field with the gold author, all if none does."""
     from spindrift.operators.ranking import filter_or_all, keep_first
 
-    sets = top_fields.groupBy("authorid").agg(F.collect_set("fieldid").alias("f"))
+    sets = top_fields.groupBy("authorid").agg(F.sort_array(F.collect_set("fieldid")).alias("f"))
     g = gold.select("rid", F.col("authorid").alias("gold")).join(sets.select(F.col("authorid").alias("gold"), F.col("f").alias("gf")), "gold", "left")
-    rows = candidates.select("rid", "authorid").distinct().join(g, "rid").join(sets, "authorid", "left").join(papers, "authorid", "left")
-    kept = filter_or_all(rows, ["rid"], F.arrays_overlap("f", "gf"))
-    best = keep_first(kept, ["rid"], [F.desc_nulls_last("n_papers"), F.asc("authorid")])
+    g = g.select("rid", "gold", F.coalesce("gf", F.array().cast("array<string>")).alias("gf"))
+    pool = candidates.select("rid", "authorid").distinct()
+    # rows of one class and one set of gold fields have the same answer
+    asked = g if members is None else g.join(members, "rid").select("gold", "gf", F.col("cid").alias("rid"))
+    rows = pool.join(asked.select("rid", "gf").distinct(), "rid").join(sets, "authorid", "left").join(papers, "authorid", "left")
+    kept = filter_or_all(rows, ["rid", "gf"], F.arrays_overlap("f", "gf"))
+    best = keep_first(kept, ["rid", "gf"], [F.desc_nulls_last("n_papers"), F.asc("authorid")]).select("rid", "gf", "authorid").join(asked, ["rid", "gf"])
     return best.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("authorid") == F.col("gold")).alias("correct"))
 
 
-def evidence_rule(rows: DataFrame, flag: Column, gold: DataFrame, papers: str | None = None) -> DataFrame:
+def evidence_rule(rows: DataFrame, flag: Column, gold: DataFrame, papers: str | None = None, members: DataFrame | None = None) -> DataFrame:
     """answered, correct: rids with one flagged candidate, or, with a count of papers, the flagged one that has most."""
     from spindrift.operators.ranking import keep_first
 
@@ -100,18 +114,18 @@ def evidence_rule(rows: DataFrame, flag: Column, gold: DataFrame, papers: str |
         picks = keep_first(hit, ["rid"], [F.desc_nulls_last(papers), F.asc("authorid")]).select("rid", "authorid")
     else:
         picks = hit.groupBy("rid").agg(F.min("authorid").alias("authorid"), F.max("authorid").alias("hi")).where("authorid = hi").select("rid", "authorid")
-    out = picks.join(gold.select("rid", F.col("authorid").alias("gold")), "rid")
+    out = of_rows(picks, members).join(gold.select("rid", F.col("authorid").alias("gold")), "rid")
     return out.agg(F.count(F.lit(1)).alias("answered"), F.count_if(F.col("authorid") == F.col("gold")).alias("correct"))
 
 
-def filter_sweep(rows: DataFrame, value: str, floors: list[float], order: str, gold: DataFrame) -> DataFrame:
+def filter_sweep(rows: DataFrame, value: str, floors: list[float], order: str, gold: DataFrame, members: DataFrame | None = None) -> DataFrame:
     """floor, n, correct: arg-max of `order` among candidates whose value reaches the floor, among all if none does."""
     from spindrift.operators.ranking import filter_or_all, keep_first
 
     each = rows.withColumn("floor", F.explode(F.array(*map(F.lit, floors))))
     kept = filter_or_all(each, ["floor", "rid"], F.col(value) >= F.col("floor"))
     best = keep_first(kept, ["floor", "rid"], [F.desc_nulls_last(order), F.asc("authorid")])
-    return best.join(gold.select("rid", F.col("authorid").alias("gold")), "rid").groupBy("floor").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("authorid") == F.col("gold")).alias("correct"))
+    return of_rows(best, members).join(gold.select("rid", F.col("authorid").alias("gold")), "rid").groupBy("floor").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("authorid") == F.col("gold")).alias("correct"))
 
 
 def prototype_accuracy(scored: DataFrame, gold: DataFrame) -> DataFrame:

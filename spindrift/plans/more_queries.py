@@ -12,11 +12,10 @@ from spindrift.functions import vectors as V
 from spindrift.operators import aggregates as A
 from spindrift.operators import diagnostics as X
 from spindrift.operators import evaluation as E
-from spindrift.operators import linkage as L
 from spindrift.operators import ranking as R
 from spindrift.operators import resolution as S
 from spindrift.plans import funnel
-from spindrift.plans.queries import CAND, CENTROID, DOT, FUNNEL, GRID, KEYS, NP, ROW, VEC, layers, roles
+from spindrift.plans.queries import CAND, CENTROID, DOT, FUNNEL, GRID, KEYS, NP, ROW, VEC, layers, pool, roles
 from spindrift.plans.registry import query
 from spindrift.plans.views import SQL_ROLES, table
 from spindrift.session import EU
@@ -38,8 +37,8 @@ def resolvable_flag(spark, sf_dir):
 
 @query("host_survivor", f"WITH {FUNNEL} SELECT g.rid, g.authorid, EXISTS (SELECT 1 FROM cand c WHERE c.rid = g.rid AND c.authorid = g.authorid) AS in_pool, EXISTS (SELECT 1 FROM gated c WHERE c.rid = g.rid AND c.authorid = g.authorid) AS survives FROM gold g")
 def host_survivor(spark, sf_dir):
-    out = layers(spark, sf_dir)
-    return X.host_survivors(roles(spark, sf_dir).gold, out.candidates, out.gated)
+    gold, out = roles(spark, sf_dir).gold, layers(spark, sf_dir)
+    return X.host_survivors(gold, out.among(gold), out.gated)
 
 
 @query("addressable", f"WITH {FUNNEL} SELECT g.rid, g.authorid FROM gold g WHERE EXISTS (SELECT 1 FROM gated c WHERE c.rid = g.rid AND c.authorid = g.authorid)")
@@ -49,32 +48,31 @@ def addressable(spark, sf_dir):
 
 @query("ceilings", f"WITH {FUNNEL} SELECT count(*) AS n_gold, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM cand c WHERE c.rid = g.rid AND c.authorid = g.authorid)) AS in_pool, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM gated c WHERE c.rid = g.rid AND c.authorid = g.authorid)) AS behind_gate, count(*) FILTER (WHERE fin.authorid = g.authorid) AS answered_right FROM gold g LEFT JOIN fin USING (rid)")
 def ceilings(spark, sf_dir):
-    out = layers(spark, sf_dir)
-    return X.ceilings(roles(spark, sf_dir).gold, out.candidates, out.gated, out.final)
+    gold, out = roles(spark, sf_dir).gold, layers(spark, sf_dir)
+    return X.ceilings(gold, out.among(gold), out.gated, out.final)
 
 
 @query("worklist", f"WITH {FUNNEL}, dc AS (SELECT rid, count(DISTINCT authorid) AS pool FROM cand GROUP BY rid) SELECT rid, pool, pool = 1 AS sole FROM dc WHERE rid NOT IN (SELECT rid FROM instu) AND rid NOT IN (SELECT rid FROM uniq)")
 def worklist(spark, sf_dir):
     """What unique names and institutions leave open."""
     out = layers(spark, sf_dir)
-    return X.worklist(roles(spark, sf_dir).roster, out.candidates, out.unique.select("rid").unionByName(out.institution.select("rid")))
+    return X.worklist(roles(spark, sf_dir).roster, out.pools(), out.unique.select("rid").unionByName(out.institution.select("rid")))
 
 
 @query("label_filter_sweep", f"WITH {KEYS}, {CAND}, {NP}, {FIELDS}, w AS (SELECT rid, fieldid FROM gold JOIN tf USING (authorid) WHERE rk = 1), x AS (SELECT cv.rid, cv.authorid, n_papers, k, coalesce(tf.rk <= k, false) AS ok FROM cv LEFT JOIN np USING (authorid) LEFT JOIN w USING (rid) LEFT JOIN tf ON tf.authorid = cv.authorid AND tf.fieldid = w.fieldid, unnest([1, 2, 3, 5]) t(k)), y AS (SELECT *, bool_or(ok) OVER (PARTITION BY k, rid) AS any_ok FROM x), z AS (SELECT * FROM y WHERE ok OR NOT any_ok QUALIFY row_number() OVER (PARTITION BY k, rid ORDER BY n_papers DESC NULLS LAST, authorid) = 1) SELECT k, count(*) AS n, count(*) FILTER (WHERE z.authorid = gold.authorid) AS correct FROM z JOIN gold USING (rid) GROUP BY k")
 def label_filter_sweep(spark, sf_dir):
-    r = roles(spark, sf_dir)
-    both = L.key_join(L.roster_keys(r.roster), L.author_keys(r.authors), "nn", "exact").unionByName(L.alias_match(L.roster_keys(r.roster), L.alias_keys(r.details)))
+    r, lists, members = pool(spark, sf_dir)
     top = top_fields(r, 5).select("authorid", "fieldid", "rk")
     wanted = r.gold.join(top.where("rk = 1"), "authorid").select("rid", "fieldid")
-    return X.label_filter_sweep(both, top, wanted, A.distinct_papers(r.papers), r.gold, [1, 2, 3, 5])
+    return X.label_filter_sweep(lists, top, wanted, A.distinct_papers(r.papers), r.gold, [1, 2, 3, 5], members)
 
 
 FLIP = f"WITH {FUNNEL}, m AS (SELECT rid, authorid FROM scored LEFT JOIN np USING (authorid) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY coalesce(n_papers, 0) DESC, authorid) = 1), s AS (SELECT rid, authorid FROM scored QUALIFY row_number() OVER (PARTITION BY rid ORDER BY sim DESC, authorid) = 1)"
 
 
 def two_answers(spark, sf_dir):
-    r, scored = roles(spark, sf_dir), layers(spark, sf_dir).scored
-    n = scored.join(A.distinct_papers(r.papers), "authorid", "left").withColumn("n_papers", F.coalesce("n_papers", F.lit(0)))
+    r, scored = roles(spark, sf_dir), layers(spark, sf_dir).scored_papers
+    n = scored.withColumn("n_papers", F.coalesce("n_papers", F.lit(0)))
     return r, R.keep_first(n, ["rid"], [F.desc("n_papers"), F.asc("authorid")]), R.keep_first(scored, ["rid"], [F.desc_nulls_last("sim"), F.asc("authorid")])
 
 
