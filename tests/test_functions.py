@@ -182,3 +182,11 @@ def test_streaming(spark, tmp_path):
     run = stream.writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert [(r.rid, r.authorid) for r in spark.table("found").collect()] == [(0, 1)]
+
+
+def test_invert_within_the_row(spark):
+
+    df = spark.createDataFrame([("b a  b",), ("",), ("x",), (None,)], "s string").select(names.invert(F.split("s", " ")).alias("m"))
+    assert [r.m for r in df.collect()] == [{"a": [1], "b": [0, 3]}, None, {"x": [0]}, None]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
