@@ -190,3 +190,16 @@ def test_invert_within_the_row(spark):
     assert [r.m for r in df.collect()] == [{"a": [1], "b": [0, 3]}, None, {"x": [0]}, None]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan
+
+
+def test_author_vectors_are_not_taken_apart(spark):
+    from spindrift.functions.embed import HashEncoder, author_vectors
+
+    edges = spark.createDataFrame([("A", 1), ("A", 2), ("A", 2), ("A", 3), ("B", 9)], "authorid string, paperid long")
+    docs = spark.createDataFrame([(1, "en", "red fox runs"), (2, "en", "blue fish swims"), (3, "en", "red fox runs")], "paperid long, language string, doc string")
+    got = author_vectors(edges, docs, HashEncoder, 2)
+    rows = got.collect()
+    mean = HashEncoder().encode(["red fox runs", "blue fish swims"]).mean(0)
+    assert [(r.authorid, r.ndoc) for r in rows] == [("A", 2)]
+    assert rows[0].vec == pytest.approx([float(x) / float((mean**2).sum() ** 0.5) for x in mean], abs=1e-6)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
